@@ -43,7 +43,7 @@ class Adapters:
 
     def components(self) -> DataFrame:
         """(source_id, page, id, kind, bx, by, bw, bh, confidence, label) from part."""
-        k = self.table("part").select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("k"))
+        k = self.table("part").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
         return k.select(
             F.lit(SOURCE).alias("source_id"), F.expr("p_partkey div 10").alias("page"), F.concat_ws("-", F.lit("component"), "p_partkey", "k").alias("id"),
             pick(KINDS, F.col("p_size") % 5).alias("kind"),
