@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.functions.geometry import box_gap2, box_of
 from tracegrid.functions.shared import cut
 from tracegrid.operators.spatial import range_join
 from tracegrid.operators.topology import PAGE
@@ -35,6 +36,29 @@ def connected_components(edges: DataFrame, keys: list[str], a: str, b: str) -> D
     return nodes.join(tied, [*keys, "node"], "left").select(*keys, "node", F.coalesce("root", "node").alias("root"))
 
 
+def page_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(page, node, root) as ``connected_components`` gives them, in one shuffle: a page's graph is bounded by the sheet
+    it was drawn on, so each page is joined up in memory. Graphs that grow with the data take the rounds above."""
+    import pandas as pd
+
+    def join_up(pdf):
+        up: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for x, y in zip(pdf["a"], pdf["b"]):
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "page": pdf["page"].iloc[0], "node": nodes, "root": [top(x) for x in nodes]})
+
+    ends = edges.select(*PAGE, F.col(a).alias("a"), F.col(b).alias("b"))
+    return ends.groupBy(*PAGE).applyInPandas(join_up, "source_id string, page long, node string, root string")
+
+
 def connective_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between connective nodes."""
     crossing = nodes.filter("NOT connective").select(*PAGE, F.col("id").alias("_n"))
@@ -43,14 +67,11 @@ def connective_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges
 
 
-def single_linkage(boxes: DataFrame, keys: list[str], id: str, radius: float) -> DataFrame:
-    """(keys, node, root): clusters of boxes (bx, by, bw, bh) whose gaps are at most ``radius``."""
-    side = lambda p: boxes.select(*keys, *(F.col(c).cast("double").alias(f"{p}{c}") for c in ("bx", "by", "bw", "bh")), F.col(id).alias(f"{p}id"))
-    box = lambda p: tuple(F.col(f"{p}{c}") for c in ("bx", "by", "bw", "bh"))
-    from tracegrid.functions.geometry import box_gap2
-
-    near = range_join(side("l"), side("r"), box("l"), box("r"), radius, keys, "lid", "rid").filter("lid <= rid").filter(box_gap2(box("l"), box("r")) <= radius * radius)
-    return connected_components(near, keys, "lid", "rid")
+def single_linkage(boxes: DataFrame, id: str, radius: float) -> DataFrame:
+    """(page, node, root): clusters of boxes (bx, by, bw, bh) whose gaps are at most ``radius``."""
+    side = lambda p: boxes.select(*PAGE, *(F.col(c).cast("double").alias(f"{p}{c}") for c in ("bx", "by", "bw", "bh")), F.col(id).alias(f"{p}id"))
+    near = range_join(side("l"), side("r"), box_of("l"), box_of("r"), radius, PAGE, "lid", "rid").filter("lid <= rid").filter(box_gap2(box_of("l"), box_of("r")) <= radius * radius)
+    return page_components(near, "lid", "rid")
 
 
 WIRE_SCHEMA = "source_id string, page long, pass int, start_endpoint string, end_endpoint string, edges array<string>, segments array<string>, status string"

@@ -196,7 +196,7 @@ def match_points(truth: DataFrame, found: DataFrame, reach: float) -> DataFrame:
 def furniture_clusters(components: DataFrame, gap: float = 45.0, align: float = 6.0, members: int = 16, rows: int = 2, columns: int = 3) -> DataFrame:
     """(page, root, members, rows, columns): regular grids of small symbols, which are furniture and not circuits."""
     small = components.filter("kind IN ('circular_symbol', 'primitive_symbol')")
-    tied = single_linkage(small, PAGE, "id", gap).join(small.select(*PAGE, F.col("id").alias("node"), "bx", "by", "bw", "bh"), [*PAGE, "node"])
+    tied = single_linkage(small, "id", gap).join(small.select(*PAGE, F.col("id").alias("node"), "bx", "by", "bw", "bh"), [*PAGE, "node"])
     tied = tied.withColumns({"cx": F.col("bx") + F.col("bw") / 2, "cy": F.col("by") + F.col("bh") / 2})
     line = lambda c: F.when(F.col(c) - F.lag(c).over(Window.partitionBy(*PAGE, "root").orderBy(c, "node")) <= align, 0).otherwise(1)
     counted = tied.withColumns({"r": line("cy"), "c": line("cx")}).groupBy(*PAGE, "root").agg(F.count(F.lit(1)).alias("members"), F.sum("r").alias("rows"), F.sum("c").alias("columns"))

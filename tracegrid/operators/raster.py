@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracegrid.operators.graph import connected_components
+from tracegrid.operators.graph import page_components
 from tracegrid.operators.topology import PAGE
 
 
@@ -31,7 +31,7 @@ def open_segments(ink: DataFrame, k: int) -> DataFrame:
     above = kept.select(*PAGE, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("up"))
     touch = kept.join(above, [*PAGE, "y"]).filter("x0 <= u1 + 1 AND u0 <= x1 + 1").select(*PAGE, F.col("id").alias("a"), F.col("up").alias("b"))
     alone = kept.select(*PAGE, F.col("id").alias("a"), F.col("id").alias("b"))
-    tied = connected_components(touch.unionByName(alone), PAGE, "a", "b")
+    tied = page_components(touch.unionByName(alone), "a", "b")
     met = kept.join(tied.withColumnRenamed("node", "id"), [*PAGE, "id"])
     return met.groupBy(*PAGE, "root").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
 

@@ -69,6 +69,12 @@ def endpoints(spark, sf_dir):
     return Drawn(spark, sf_dir).endpoints.drop("source_id", "confidence")
 
 
+@query("SELECT * FROM cc")
+def page_components(spark, sf_dir):
+    d = Drawn(spark, sf_dir)
+    return graph.page_components(graph.connective_edges(d.nodes, d.edges), "from_node", "to_node").drop("source_id")
+
+
 @query("SELECT * FROM cc")
 def connected_components(spark, sf_dir):
     d = Drawn(spark, sf_dir)
@@ -173,7 +179,7 @@ _SPLICES = {
 @query("SELECT r.page, r.root, count(*) AS members, avg(x) AS cx, avg(y) AS cy FROM sroot r JOIN sp ON sp.page = r.page AND sp.id = r.id GROUP BY ALL", **_SPLICES)
 def splice_clusters(spark, sf_dir):
     sp = Drawn(spark, sf_dir).nodes.filter("type = 'splice'").select(*topology.PAGE, "id", F.col("x").alias("bx"), F.col("y").alias("by"), F.lit(0).alias("bw"), F.lit(0).alias("bh"))
-    tied = graph.single_linkage(sp, topology.PAGE, "id", 12.0)
+    tied = graph.single_linkage(sp, "id", 12.0)
     return tied.join(sp.withColumnRenamed("id", "node"), [*topology.PAGE, "node"]).groupBy("page", "root").agg(F.count(F.lit(1)).alias("members"), F.avg("bx").alias("cx"), F.avg("by").alias("cy"))
 
 

@@ -185,13 +185,13 @@ def ground_truth_match(spark, sf_dir):
 
 @query("""SELECT page, root, members, "rows", "columns" FROM (SELECT page, root, count(*) AS members, sum(r)::BIGINT AS "rows", sum(c)::BIGINT AS "columns" FROM (
          SELECT f.page, f.root, CASE WHEN s.cy - lag(s.cy) OVER (PARTITION BY f.page, f.root ORDER BY s.cy, s.id) <= 6 THEN 0 ELSE 1 END AS r, CASE WHEN s.cx - lag(s.cx) OVER (PARTITION BY f.page, f.root ORDER BY s.cx, s.id) <= 6 THEN 0 ELSE 1 END AS c FROM froot f JOIN sm s ON s.page = f.page AND s.id = f.id) GROUP BY page, root)
-       WHERE members >= 8 AND "rows" >= 2 AND "columns" >= 3""",
+       WHERE members >= 3 AND "rows" >= 2 AND "columns" >= 2""",
        sm="SELECT *, bx + bw / 2.0 AS cx, components.by + bh / 2.0 AS cy FROM components WHERE kind IN ('circular_symbol', 'primitive_symbol')",
        fl="SELECT a.page, a.id AS a, b.id AS b FROM sm a JOIN sm b ON a.page = b.page AND pow(greatest(a.bx - (b.bx + b.bw), b.bx - (a.bx + a.bw), 0), 2) + pow(greatest(a.by - (b.by + b.bh), b.by - (a.by + a.bh), 0), 2) <= 2025",
        fr="SELECT page, a, b FROM fl UNION SELECT r.page, r.a, l.b FROM fr r JOIN fl l ON l.page = r.page AND l.a = r.b",
        froot="SELECT page, a AS id, min(b) AS root FROM fr GROUP BY ALL")
 def furniture_clusters(spark, sf_dir):
-    return J.furniture_clusters(View(spark, sf_dir).components(), members=8).drop("source_id")
+    return J.furniture_clusters(View(spark, sf_dir).components(), members=3, columns=2).drop("source_id")
 
 
 @query(f"SELECT b.page, b.id FROM components b WHERE kind = 'chassis_ground' AND NOT EXISTS (SELECT 1 FROM lines s WHERE s.page = b.page AND least({_pb2('s.x1', 's.y1', 'b')}, {_pb2('s.x2', 's.y2', 'b')}) <= 64)", **_LINES)
