@@ -1,14 +1,15 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-A lexicon of words and word beginnings is counted over labelled rows; the features are its densities, how close its
-words stand to second-person words, and the rates of capitals, punctuation and obfuscated words. A labelled row is
-taken out of the lexicon's counts before it is scored for training, so the trees see what a new text would show them.
+A lexicon of words and word beginnings is counted over the distinct lines of labelled rows, so that copies count once;
+the features are its densities, how close its words stand to second-person words, and the rates of capitals,
+punctuation and obfuscated words. A labelled row's lines are taken out of the lexicon's counts before it is scored for
+training, so the trees see what a new text would show them.
 Trees and calibration learn from different rows, and neither sees ids, languages, sources or labels of a text.
 
 Learning uses rows whose crc32(doc_id) mod 3 is not 1, at most about ``TRAIN_ROWS`` of them by hash.
 
 Defined results: null and empty texts have zero features and get a score as any other; repeated rows score alike;
-without labelled rows of both classes every score is the share of toxic rows (0 if there are none); an empty table
+without labelled rows of both classes every score is the share of toxic lines (0 if there are none); an empty table
 gives an empty result.
 """
 
@@ -56,30 +57,37 @@ def terms(token: str) -> list[str]:
     return [token, *(f"{n}{token[:n]}" for n in (4, 5) if len(token) > n)] if token else []
 
 
+def line_terms(line: str) -> set[str]:
+    return {t for token in set(line.lower().split()) for t in terms(plain(token))}
+
+
 def weight(toxic: float, clean: float, all_toxic: float, all_clean: float) -> float:
-    """Log odds of a term, less ``SURE`` standard errors."""
-    odds = math.log((toxic + 0.2) / (clean + 0.2)) + math.log((all_clean + 1) / (all_toxic + 1))
-    return odds - SURE * math.sqrt(1 / (toxic + 0.2) + 1 / (clean + 0.2))
+    """By how much the log odds of a line with the term exceed those of any line, at the lower end of Wilson's
+    interval of ``SURE`` standard errors."""
+    n, z2 = toxic + clean, SURE * SURE
+    share = (toxic + z2 / 2 - SURE * math.sqrt(toxic * clean / n + z2 / 4)) / (n + z2) if n else 0.0
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return math.log(share / (1 - share)) + math.log((all_clean + 1) / (all_toxic + 1))
 
 
 class Lexicon:
-    """Counts of toxic and clean rows by term."""
+    """Counts of toxic and clean lines by term."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
         self.counts, self.toxic, self.clean = counts, toxic, clean
         self.seen: dict[str, tuple[float, float]] = {}
 
-    def weights(self, token: str, label: int | None) -> tuple[float, float]:
-        """The weights above 0 of the token's word and of its best beginning, without the row's own count."""
-        if label is None and (known := self.seen.get(token)) is not None:
+    def weights(self, token: str, label: int | None = None, own: Counter | None = None) -> tuple[float, float]:
+        """The weights above 0 of the token's word and of its best beginning, without the row's own lines."""
+        if own is None and (known := self.seen.get(token)) is not None:
             return known
-        own = (1, 0) if label == 1 else (0, 1) if label == 0 else (0, 0)
         found = [0.0, 0.0]
         for i, term in enumerate(terms(plain(token))):
             if pair := self.counts.get(term):
-                w = weight(pair[0] - own[0], pair[1] - own[1], self.toxic, self.clean) if pair[0] > own[0] and pair[1] >= own[1] else 0.0
+                toxic, clean = (max(0, n - own[term] * (label == y)) if own else n for n, y in zip(pair, (1, 0)))
+                w = weight(toxic, clean, self.toxic, self.clean) if toxic else 0.0
                 found[i > 0] = max(found[i > 0], w)
-        if label is None:
+        if own is None:
             if len(self.seen) > 200_000:
                 self.seen.clear()
             self.seen[token] = (found[0], found[1])
@@ -89,11 +97,12 @@ class Lexicon:
         text = text or ""
         tokens = text.lower().split()
         counts = Counter(tokens)
+        own = None if label is None else Counter(t for line in set(text.split("\n")) for t in line_terms(line))
         n, chars = max(1, len(tokens)), max(1, len(text))
         word = start = word_max = start_max = 0.0
         kinds, odd, hits = 0, 0, set()
         for token, times in counts.items():
-            w, s = self.weights(token, label)
+            w, s = self.weights(token, label, own)
             if w > 0:
                 word, word_max, kinds = word + w * times, max(word_max, w), kinds + 1
             if s > 0:
@@ -133,17 +142,18 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total = (Counter(), Counter())
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[label].update({t for token in set((text or "").lower().split()) for t in terms(plain(token))})
+            total[label].update(line_terms(text))
         names = list(total[0].keys() | total[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[1][x] for x in names], pa.int64()), pa.array([total[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
 
 
 def learned_lexicon(rows: DataFrame) -> Lexicon:
-    sums = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    lines = rows.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"), "label").distinct()
+    sums = lines.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = int(sums.t), int(sums.n - sums.t)
     if not toxic or not clean:
         return Lexicon({}, toxic, clean)
-    counted = rows.select("text", "label").mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = lines.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     telling = counted.filter((F.col("toxic") >= 2) & (F.col("toxic") * (clean + 1) > 2 * (F.col("clean") + 0.2) * (toxic + 1)))
     best = telling.orderBy(F.col("toxic").desc(), "term").limit(LEXICON).collect()  # bounded
     return Lexicon({r.term: (r.toxic, r.clean) for r in best}, toxic, clean)
@@ -159,7 +169,7 @@ class ToxicityModel:
         """``docs`` with ``score`` (0 to 1)."""
         if self.trees is None:
             total = self.lexicon.toxic + self.lexicon.clean
-            return docs.withColumn("score", F.lit(self.lexicon.toxic / total if total else 0.0))
+            return docs.withColumn("score", F.lit(self.lexicon.toxic / total if total else 0.0))  # a share of lines
         lexicon = docs.sparkSession.sparkContext.broadcast(self.lexicon)  # at most LEXICON terms
 
         @F.pandas_udf("array<double>")
@@ -189,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Toxicity
     grow, curve = seen.filter("grow"), seen.filter("NOT grow")
     if grow.select("label").distinct().count() < 2:
         return ToxicityModel(lexicon)
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_tree", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).setProbabilityCol("_chance").setRawPredictionCol("_margin").fit(grow)
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_tree", maxIter=12, maxDepth=3, maxBins=256, stepSize=0.3, seed=7).setProbabilityCol("_chance").setRawPredictionCol("_margin").fit(grow)
     told = trees.transform(curve if curve.select("label").distinct().count() == 2 else seen).withColumn("_raw", vector_to_array("_chance")[1])
     return ToxicityModel(lexicon, trees, IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_curve").fit(told))
 
