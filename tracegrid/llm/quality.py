@@ -119,13 +119,16 @@ def thresholds(signals: DataFrame) -> DataFrame:
     cuts = ranked.groupBy("level", "l", "s", "signal").agg(at(0.5).alias("q50"), at(0.9).alias("q90"), F.max("total").alias("total"))
     slack = F.create_map(*(F.lit(x) for kv in SIGNALS.items() for x in kv))[F.col("signal")]
     fence = F.col("q90") + 3 * (F.col("q90") - F.col("q50")) + slack
-    wide = cuts.withColumn("fence", fence).groupBy("level", "l", "s").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"max_{s}") for s in SIGNALS))
+    wide = cut(cuts.withColumn("fence", fence).groupBy("level", "l", "s").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"max_{s}") for s in SIGNALS)), "sketches")
     top = [f"max_{s}" for s in SIGNALS]
     level = lambda n: wide.filter(F.col("level") == n).select("l", "s", F.struct("total", *top).alias(f"f{n}"))
-    own, lang, every = level(0), level(1).drop("s").withColumnRenamed("l", "l1"), level(2).drop("l", "s")
-    # the sketch of all documents is one row, met through a constant key
-    picked = own.join(lang, F.col("l").eqNullSafe(F.col("l1")), "left").withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one")
-    use = F.when(F.col("f0.total") >= MIN_GROUP, F.col("f0")).when(F.col("f1.total") >= MIN_GROUP, F.col("f1")).otherwise(F.col("f2"))
+    own, lang = level(0), level(1).drop("s").withColumnRenamed("l", "l1")
+    every = level(2).select("f2.*").first()  # one row: the sketch of all documents
+    if every is None:
+        return own.select(F.col("l").alias("t_lang"), F.col("s").alias("t_source"), *(F.col(f"f0.{x}").alias(x) for x in top))
+    f2 = F.struct(F.lit(every.total).alias("total"), *(F.lit(every[x]).alias(x) for x in top))
+    picked = own.join(lang, F.col("l").eqNullSafe(F.col("l1")), "left")
+    use = F.when(F.col("f0.total") >= MIN_GROUP, F.col("f0")).when(F.col("f1.total") >= MIN_GROUP, F.col("f1")).otherwise(f2)
     return picked.select(F.col("l").alias("t_lang"), F.col("s").alias("t_source"), use.alias("f")).select("t_lang", "t_source", *(F.col(f"f.{x}").alias(x) for x in top))
 
 
