@@ -26,7 +26,7 @@ SLOTS = 1 << 18
 #: 2**32 divided by the golden ratio, odd: k * PHI32 mod 2**32 runs through all residues evenly.
 PHI32 = 2654435769
 #: Slots ranked together, documents laid out together, and bins of the unit interval.
-CHUNK, BUCKET_DOCS, BINS = 8192, 4096, 4096
+CHUNK, BUCKET_DOCS, BINS = 8192, 1024, 4096
 
 
 def thin_documents(docs: DataFrame, seed: int) -> DataFrame:
