@@ -40,7 +40,7 @@ FEATURES = ["word_density", "word_max", "word_kinds", "start_density", "start_ma
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros tus".split())
 #: Characters written for letters.
-_LEET = str.maketrans("013457@$!|", "oleastasil")
+_LEET = str.maketrans("013457@$!|", "oieastasil")
 _EDGE = re.compile(r"^\W+|\W+$")
 _INNER = re.compile(r"[^\w]|_")
 _ODD = re.compile(r"[^\W\d_].*[\d@$*|!_].*[^\W\d_]|[^\W\d_][.\-*_][^\W\d_][.\-*_][^\W\d_]")
