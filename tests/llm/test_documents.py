@@ -133,6 +133,8 @@ def test_mixing_edges(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.taken == 0 for r in rows if r.size == 0)
     assert mixing.taken_words(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
     assert mixing.mixed_documents(odd_docs).columns == odd_docs.columns
+    wordless = mixing.taken_words(odd_docs.filter("text IS NULL OR doc_id = 4")).collect()
+    assert len(wordless) == 3 and {(r.size, r.target, r.taken) for r in wordless} == {(0, 0.0, 0)}
 
 
 # packing

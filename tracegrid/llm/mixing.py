@@ -5,7 +5,7 @@ target weights map it to a source, so any stretch of the mix holds the sources i
 source a slot has a rank, and rank r takes block r of the source's shuffled token line (two passes at most).
 
 Defined results: a null text has no words and is never taken; null is a source of its own, after all others;
-repeated rows are documents of their own; an empty table gives an empty result. Order within a source depends
+repeated rows are documents of their own; tables that are empty or hold no word give no mix, and targets of 0. Order within a source depends
 only on doc_id and text, so runs agree.
 """
 
@@ -58,7 +58,7 @@ def targets(thin: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     rows = rows.withColumn("level", F.min(F.when(F.col("cap") > F.col("rest") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "sid", "rest"))).over(every)["rest"])
     rows = rows.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
     upto = F.sum("target").over(Window.orderBy("sid"))
-    return rows.select("sid", "source", "source_size", "target", ((upto - F.col("target")) / F.sum("target").over(every)).alias("lo"), F.when(F.lead("sid").over(Window.orderBy("sid")).isNull(), 2.0).otherwise(upto / F.sum("target").over(every)).alias("hi"))
+    return rows.select("sid", "source", "source_size", "target", F.try_divide(upto - F.col("target"), F.sum("target").over(every)).alias("lo"), F.when(F.lead("sid").over(Window.orderBy("sid")).isNull(), 2.0).otherwise(F.try_divide(upto, F.sum("target").over(every))).alias("hi"))
 
 
 def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
@@ -98,7 +98,7 @@ def mix_sources(thin: DataFrame, n_slots: int = SLOTS) -> tuple[DataFrame, DataF
     slots = schedule(sources, int(-(-total // block)))
     placed = cut(layout(thin, sources, n_docs), "layout")
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor((F.col("pos") + F.col("size") - 1) / block))))
-    blocks = F.ceil(F.col("source_size") / block)
+    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
     ranked = slots.join(sources.select("sid", "source_size"), "sid").select("sid", "slot", (F.col("rank") % blocks).alias("block"), F.floor(F.col("rank") / blocks).alias("pass")).filter(F.col("pass") < MAX_PASSES)
     start = F.greatest(F.col("pos"), F.col("block") * block)
     pieces = parts.join(ranked, ["sid", "block"]).select("slot", "uid", "doc_id", "pass", (start - F.col("pos")).alias("start"), (F.least(F.col("pos") + F.col("size"), (F.col("block") + 1) * block) - start).alias("length"))
