@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracegrid.llm import mixing, packing, quality, registry, sharding, simhash, toxicity
+from tracegrid.operators.graph import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -290,7 +291,7 @@ def test_links_of_a_large_group(spark, chunk):
     signed = [x - (1 << 64) if x >= 1 << 63 else x for x in chain]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     links = simhash.fingerprint_links(nodes, chunk)
-    root = {r.node: r.root for r in simhash.connected(links).collect()}
+    root = {r.node: r.root for r in connected_components(links, [], "a", "b").collect()}
     groups = defaultdict(set)
     for x in signed:
         groups[root.get(x, x)].add(x)

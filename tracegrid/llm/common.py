@@ -2,49 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracegrid.functions.shared import cut, shared_dir
+
+__all__ = ["SPACE", "WORD", "cut", "fresh_path", "shared_dir", "table", "word_count", "words_of"]
+
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (a local session, as in tests) a temporary folder is made.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _LOCAL[key]
-
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which ends its lineage.
-
-    A lost executor then costs no more than a new read of those files.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

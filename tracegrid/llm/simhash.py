@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from tracegrid.operators.graph import connected_components
+
 from .common import cut
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -148,28 +150,10 @@ def fingerprint_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j").mapInArrow(_stars, "a long, b long").distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) but the roots: rounds of large-star and small-star
-    (Kiveris et al., SoCC 2014), each written to the shared folder, until nothing changes."""
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
-        edges = cut(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a <> b").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
-
-
 def components(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp)."""
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    tied = connected(fingerprint_links(nodes.select("fp")))
+    tied = connected_components(fingerprint_links(nodes.select("fp")), [], "a", "b")
     rooted = nodes.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")

@@ -15,15 +15,12 @@ is allowed; repeated rows are judged alike; an empty table gives an empty result
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from typing import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD  # noqa: F401  (the word rule is part of the package's contract)
-
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
@@ -104,11 +101,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, range_rows: in
     return dealt.unionByName(ruled).repartition(cells, "cell").sortWithinPartitions("cell", "key", "kind").mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string")
 
 
-def nearest_cell(bounds: list[str], key: str) -> int:
-    """What the cell expression gives for one key; for tests."""
-    return bisect_right(bounds, key)
-
-
 ORACLE = r"""
 WITH u AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
