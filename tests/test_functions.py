@@ -1,12 +1,21 @@
+import os
+
 from pyspark.sql import functions as F
 
-from tracegrid.functions import evidence, geometry, ids, text
+from tracegrid.functions import evidence, geometry, ids, shared, text
 
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+def test_cut_and_release(spark):
+    df = shared.cut(spark.range(5), "numbers")
+    assert sorted(r.id for r in df.collect()) == list(range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and shared.release(spark) >= 1 and not os.path.exists(path) and shared.release(spark) == 0
+
+
 def test_stable_id(spark):
     assert one(spark, ids.stable_id("wire", F.lit("source:0:1,2-3,4"))) == "wire-ce83e11763faff89"
     assert one(spark, ids.stable_id("wire", F.lit("a"))) != one(spark, ids.stable_id("wire", F.lit("b")))

@@ -86,13 +86,18 @@ def endpoints(nodes: DataFrame) -> DataFrame:
 
 
 class Topology:
-    """Nodes and edges of normalised segments; split points are written once, as both are made from them."""
+    """Nodes and edges of normalised segments. Split points are written once, as both are made from them; with
+    ``reuse`` nodes and edges are as well, for queries that need them more than once."""
 
-    def __init__(self, segments: DataFrame, keep: bool = True):
+    def __init__(self, segments: DataFrame, keep: bool = True, reuse: bool = False):
         self.segments = segments
         self.points = cut(split_points(segments), "points") if keep else split_points(segments)
         self.edges = topology_edges(self.points)
+        if reuse:
+            self.edges = cut(self.edges, "edges")
         self.nodes = topology_nodes(self.points, self.edges)
+        if reuse:
+            self.nodes = cut(self.nodes, "nodes")
 
 
 def gap_candidates(nodes: DataFrame, edges: DataFrame, lo: float = MIN_GAP, hi: float = MAX_GAP, facing: float = FACING) -> DataFrame:

@@ -26,10 +26,10 @@ def query(oracle: str | None = None, **ctes: str):
 class Drawn:
     """The graph of the segment view."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = True, reuse: bool = False):
         self.views = Adapters(spark, sf_dir)
         self.segments = topology.normalize_conductors(self.views.segments())
-        self.topology = topology.Topology(self.segments, keep)
+        self.topology = topology.Topology(self.segments, keep, reuse)
         self.nodes, self.edges = self.topology.nodes, self.topology.edges
         self.endpoints = self.views.endpoint_kinds(topology.endpoints(self.nodes))
 
@@ -82,7 +82,7 @@ def connected_components(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    d = Drawn(spark, sf_dir)
+    d = Drawn(spark, sf_dir, reuse=True)
     return d, *nets.component_facts(d.nodes, d.edges, d.endpoints)
 
 

@@ -31,7 +31,7 @@ class Model(Drawn):
     """A drawn graph with its unambiguous wires."""
 
     def __init__(self, spark, sf_dir):
-        super().__init__(spark, sf_dir)
+        super().__init__(spark, sf_dir, reuse=True)
         self.wires = cut(graph.wires(self.edges, self.nodes, self.endpoints).filter("pass = 1"), "wires")
 
     def spoiled(self):
