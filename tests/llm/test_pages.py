@@ -20,6 +20,20 @@ def test_main_text():
     assert styletree.main_text("<p>plain") == "plain" and styletree.main_text("a < b") == "a < b"
 
 
+def test_headers_of_articles_stay():
+    assert styletree.main_text("<div class=header>a</div><main><div class='entry-header'><h1>b</h1></div><header>c</header><div class='ad header'>d</div>e</main>") == "b\nc\ne"
+
+
+@pytest.mark.parametrize("piece", ["<a", "<!", '<a "', "<a '", "<", "<!--", "<p ", "</", "&", "<script", "<b>", "<div>", "<p>x", "<div>x", "<ul><li>x"])
+def test_broken_pages_take_no_long_time(piece):
+    import time
+
+    began = time.process_time()
+    styletree.style_nodes(piece * 20_000)
+    styletree.main_text(piece * 20_000)
+    assert time.process_time() - began < 20
+
+
 def test_low_branches_leave():
     page = "<body><div class=x1><p>same</p></div><div class=x2><p>new</p></div></body>"
     nodes = styletree.style_nodes(page)
