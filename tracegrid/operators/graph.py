@@ -78,8 +78,12 @@ WIRE_SCHEMA = "source_id string, page long, pass int, start_endpoint string, end
 STOP_SCHEMA = "source_id string, page long, endpoint_id string, node_id string, reason string"
 
 
+#: Types of nodes at which a conductor spreads.
+SPREAD = ["splice", "junction"]
+
+
 class PageGraph:
-    """The graph of one page in memory (a page has some hundreds of edges)."""
+    """The graph of one page in memory (a page has some hundreds of edges); ``nodes`` are those that spread."""
 
     def __init__(self, edges, nodes, endpoints):
         self.ends = {e: (a, b) for e, a, b in zip(edges["id"], edges["from_node"], edges["to_node"])}
@@ -88,7 +92,7 @@ class PageGraph:
         for e, pair in sorted(self.ends.items()):
             for n in pair:
                 self.at.setdefault(n, []).append(e)
-        self.spread = set(nodes.loc[nodes["type"].isin(["splice", "junction"]), "id"])
+        self.spread = set(nodes["id"])
         usable = endpoints[~endpoints["kind"].isin(["splice", "unresolved"])]
         self.terminal = {n: i for i, n in sorted(zip(usable["id"], usable["node_id"]), reverse=True)}
 
@@ -168,10 +172,11 @@ class PageGraph:
 
 
 def _by_page(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame):
-    """The three tables of a page side by side, tagged by ``t``."""
+    """The three tables of a page side by side, tagged by ``t``; of the nodes only those that spread, as walks ask for no
+    others."""
     blank = lambda *cs: [F.lit(None).cast("string").alias(c) for c in cs]
     e = edges.select(*PAGE, F.lit("e").alias("t"), "id", "from_node", "to_node", "seg", *blank("type", "node_id", "kind"))
-    n = nodes.select(*PAGE, F.lit("n").alias("t"), "id", *blank("from_node", "to_node", "seg"), "type", *blank("node_id", "kind"))
+    n = nodes.filter(F.col("type").isin(*SPREAD)).select(*PAGE, F.lit("n").alias("t"), "id", *blank("from_node", "to_node", "seg"), "type", *blank("node_id", "kind"))
     p = endpoints.select(*PAGE, F.lit("p").alias("t"), "id", *blank("from_node", "to_node", "seg", "type"), "node_id", "kind")
     return e.unionByName(n).unionByName(p).groupBy(*PAGE)
 
