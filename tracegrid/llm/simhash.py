@@ -153,10 +153,12 @@ def fingerprint_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def components(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp)."""
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    tied = connected_components(fingerprint_links(nodes.select("fp")), [], "a", "b")
-    rooted = nodes.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    # a node is ordered by its first document, so a component's root names it without another join
+    key = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
+    side = lambda x: nodes.select(F.col("fp").alias(x), key.alias(f"{x}_key"))
+    named = fingerprint_links(nodes.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    tied = connected_components(named, [], "a_key", "b_key").select(F.col("node.fp").alias("fp"), F.col("root.first").alias("named"), F.lit(True).alias("tied"))
+    return nodes.join(tied, "fp", "left").select("fp", F.when(F.col("tied"), F.col("named")).otherwise(F.col("first")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
