@@ -158,7 +158,9 @@ def components(prints: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(F.col("fp").alias(x), key.alias(f"{x}_key"))
     named = fingerprint_links(nodes.select("fp")).join(side("a"), "a").join(side("b"), "b")
     tied = connected_components(named, [], "a_key", "b_key").select(F.col("node.fp").alias("fp"), F.col("root.first").alias("named"), F.lit(True).alias("tied"))
-    return nodes.join(tied, "fp", "left").select("fp", F.when(F.col("tied"), F.col("named")).otherwise(F.col("first")).alias("component_id"))
+    named = F.when(F.col("tied"), F.col("named")).otherwise(F.col("first")).alias("component_id")
+    # written, so that joins with it deal both sides anew and Spark can split those of a fingerprint with many copies
+    return cut(nodes.join(tied, "fp", "left").select("fp", named), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
