@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.llm import mixing, packing, quality, simhash, toxicity
+from tracegrid.llm import mixing, nearcopies, packing, quality, simhash, toxicity
 from tracegrid.llm.common import cut, table
 
 
@@ -23,10 +23,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    """One document of each group of near-duplicates by op9's fingerprints, that with the smallest doc_id."""
     return simhash.keep_first(docs)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of what ``near_duplicate_stage`` leaves, one document of each group of texts that share 0.8 of their 5-word shingles."""
+    return nearcopies.keep_first(near_duplicate_stage(spark, docs, sf_dir))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document comes once for each pass that takes it."""
     return mixing.mixed_documents(docs)
@@ -37,7 +42,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.packed_digest(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("toxicity", toxicity_stage), ("near duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [("quality rules", quality_stage), ("toxicity", toxicity_stage), ("near duplicates", near_copy_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: SQL expresses neither the learned stages nor packing; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracegrid.llm import mixing, packing, quality, registry, sharding, simhash, toxicity
+from tracegrid.llm import mixing, nearcopies, packing, quality, registry, sharding, simhash, toxicity
 from tracegrid.operators.graph import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -308,6 +308,47 @@ def test_keep_first(odd_docs, no_docs):
     assert kept.count() == len(groups) and simhash.keep_first(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_pipeline_drops_near_copies(spark, odd_docs, no_docs):
+    """Copies with edits: fingerprints of 3-word shingles differ by more than 3 bits, 5-word shingles agree to 0.8 or more."""
+    rng = np.random.default_rng(5)
+    sets = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    rows, far = [], 0
+    for f in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        near, other = list(base), list(base)
+        near[40] = near[80] = "edited"
+        for i in range(5, 120, 12):
+            other[i] = "rewritten"
+        a, b, c = sets(base), sets(near), sets(other)
+        assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c)
+        far += (brute_print(" ".join(base)) ^ brute_print(" ".join(near))).bit_count() > 3
+        rows += [(3 * f, " ".join(base)), (3 * f + 1, " ".join(near)), (3 * f + 2, " ".join(other))]
+    assert far > 10
+    import corpus_pipeline as P
+
+    kept = dict(P.STAGES)["near duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i, _ in rows if i % 3 != 1]
+    odd = nearcopies.keep_first(odd_docs)
+    assert odd.columns == odd_docs.columns and nearcopies.keep_first(no_docs).count() == 0
+    assert sorted(map(str, (r.doc_id for r in odd.collect()))) == sorted(map(str, [1, 2, 5, 7, 8, 9, None]))
+
+
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_verified_links_of_a_large_family(spark, chunk):
+    """A chain of edits, in one task's group or dealt out as chunks: the same components as all pairs give."""
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(30):
+        base = list(base)
+        base[i * 53 % 200] = f"e{i}"
+        texts.append(" ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "uid long, text string")
+    nodes = docs.select("uid", nearcopies.sketch_of("text").alias("s")).select("uid", "s.words", "s.keys")
+    links = nearcopies.verified_links(nodes, docs, chunk)
+    roots = {r.node: r.root for r in connected_components(links, [], "a", "b").collect()}
+    assert roots == dict.fromkeys(range(30), 0)
+
+
 # toxicity
 
 
