@@ -27,3 +27,10 @@ def test_partitions_do_not_matter(spark, small, duck, same, partitions):
         same(catalog.QUERIES["wires_pass2"](spark, small), duck, catalog.ORACLE_SQL["wires_pass2"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sorted_export_holds_every_page(spark, small):
+    rows = catalog.QUERIES["sorted_export"](spark, small).collect()
+    nodes = catalog.QUERIES["topology_nodes"](spark, small)
+    assert [(r.page, r.id) for r in rows] == sorted((r.page, r.id) for r in rows)
+    assert len(rows) == nodes.count() and len({r.page for r in rows}) > 5

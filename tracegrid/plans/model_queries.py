@@ -402,8 +402,8 @@ def blob_classify(spark, sf_dir):
 
 @query()
 def sorted_export(spark, sf_dir):
-    """The nodes of the first pages as JSON lines in order of id, the form of a model file."""
-    n = Drawn(spark, sf_dir).nodes.filter("page < 5")
+    """The nodes of all pages as JSON lines in order of page and id, the form of a model file."""
+    n = Drawn(spark, sf_dir).nodes
     return n.orderBy("page", "id").select("page", "id", F.to_json(F.struct("id", "x", "y", "type", "connective")).alias("json"))
 
 
