@@ -52,6 +52,20 @@ def test_tree_finds_repeated_branches(spark):
     assert seen["html/body/div/div.qa"] == 0.0 and seen["html/body/div/div.qb"] == pytest.approx(1.0)
 
 
+def test_copies_and_fixed_headings_stay(spark):
+    """A host of copies, one of copies and unique pages (with and without article), and one with the same heading in every article."""
+    article = "<html><body><nav>menu</nav><article><h2>{}</h2><p>{}</p></article></body></html>"
+    plain = "<html><body><div class=qa>Always this line</div><div class=qb><p>{}</p></div></body></html>"
+    rows = [("copies", article.format("Same", "One text"), "Same\nOne text")] * 80
+    for i in range(300):
+        n = i if i >= 216 else 0
+        rows += [("mixed", article.format("Head", f"Text {n}"), f"Head\nText {n}"), ("plain", plain.format(f"Text {n}"), f"Text {n}")]
+    rows += [("fixed", article.format("Abstract", f"Number {i}"), f"Abstract\nNumber {i}") for i in range(80)]
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in styletree.extract_text(df).collect()}
+    assert got == {i: t for i, (_, _, t) in enumerate(rows)}
+
+
 def test_article_of_generated_pages(spark, small):
     rows = registry.op7_style_tree(spark, small).collect()
     for r in rows:
