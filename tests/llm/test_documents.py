@@ -301,6 +301,54 @@ def test_links_of_a_large_group(spark, chunk):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, told.values()))
 
 
+def test_pivot_table(spark):
+    """Distances are those to all pivots, and pairs within 3 bits share a cell of every pivot."""
+    rng = np.random.default_rng(11)
+    fps = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    near = fps ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(fps.view(np.int64), near.view(np.int64))], "a long, b long")
+    for depth in (0, 1, 3, 6):
+        cells = lambda c: simhash.cells_of(simhash.distances(F.col(c)), F.lit(27), F.lit(depth))
+        rows = df.select("a", simhash.distances(F.col("a")).alias("d"), F.arrays_overlap(cells("a"), cells("b")).alias("meet"), F.size(cells("a")).alias("n")).collect()
+        assert all(r.meet for r in rows) and max(r.n for r in rows) <= 2**depth
+    pivots = simhash.pivots()
+    assert all(list(r.d) == [int(np.uint64(r.a & (1 << 64) - 1) ^ p).bit_count() for p in pivots] for r in rows)
+
+
+def test_only_pivots_decide():
+    """Members of one group of blocks: pairs leave by the pivot table alone, and never a pair that links."""
+    rng = np.random.default_rng(12)
+    fps = np.unique(rng.integers(0, 1 << 38, 900, dtype=np.uint64))
+    table = np.bitwise_count(fps[:, None] ^ simhash.pivots()[None, :]).astype(np.int8)
+    i, j = simhash.near_pairs(np.ascontiguousarray(table.T), np.ascontiguousarray(table.T))
+    told = {(x, y) for x in range(len(fps)) for y in range(len(fps)) if np.abs(table[x].astype(int) - table[y]).max() <= 3}
+    assert set(zip(i.tolist(), j.tolist())) == told and len(told) < 0.05 * len(fps) ** 2
+    assert all((x, y) in told for x in range(0, len(fps), 7) for y in range(len(fps)) if (int(fps[x]) ^ int(fps[y])).bit_count() <= 3)
+
+
+def test_group_with_many_survivors():
+    """Above 200,000 pairs of one group pass all pivots; the stars are those of a brute force."""
+    base = 0x0F0F_3C3C_5A5A_9999
+    fps = np.array([base ^ x for x in range(2048)], dtype=np.uint64)
+    table = np.bitwise_count(fps[:, None] ^ simhash.pivots()[None, :]).astype(np.int8)
+    columns = np.ascontiguousarray(table.T)
+    assert len(simhash.near_pairs(columns, columns)[0]) > 200_000
+    stars = dict(simhash.linked_stars(fps, table))
+    told = brute_components([(int(x), int(x)) for x in fps])
+    assert all(stars.get(i, i) == c for i, _, c in told)
+
+
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_links_with_cells_of_pivots(spark, crowd):
+    """A large group of random members and near pairs, met through the cells of up to 6 pivots."""
+    rng = np.random.default_rng(14)
+    fps = set(rng.integers(0, 1 << 38, 500).tolist())
+    fps |= {x ^ (1 << int(rng.integers(38))) ^ (1 << int(rng.integers(38))) for x in list(fps)[:200]}
+    nodes = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
+    root = {r.node: r.root for r in connected_components(simhash.fingerprint_links(nodes, 64, crowd), [], "a", "b").collect()}
+    assert all(root.get(i, i) == c for i, _, c in brute_components([(x, x) for x in sorted(fps)]))
+
+
 def test_keep_first(odd_docs, no_docs):
     kept = simhash.keep_first(odd_docs)
     groups = {r.component_id for r in simhash.near_duplicates(odd_docs).collect()}

@@ -1,13 +1,16 @@
 """Near-duplicates by SimHash fingerprints, with pivot distance tables that discard pairs.
 
 A fingerprint has a bit set where over half the hashes of the text's 3-word shingles have it. Two fingerprints link
-at 3 or fewer differing bits. Distances to reference fingerprints (pivots) are precomputed; by the triangle
-inequality a pair whose distances to any pivot differ by more than 3 cannot link, and only the others are compared.
+at 3 or fewer differing bits. The Hamming distances of every distinct fingerprint to ``N_PIVOTS`` reference fingerprints
+(pivots) are computed once and written with it. By the triangle inequality a pair whose distances to any pivot differ by
+more than 3 cannot link; all pairs that meet are held against all pivots, and only survivors are compared bit by bit.
 
-Pivots alone cannot keep pairs apart at scale (each lets about 46 % of random pairs pass, so all pairs would have to
-meet), hence pairs come from blocks: of 5 blocks of bits, 3 differing bits leave 2 untouched, so linked fingerprints
-agree on at least one of the 10 pairs of blocks. Work within a group gives the group's components as stars, one row
-for each member at most, and groups above ``CHUNK`` are dealt out as pairs of chunks.
+Pivot coordinates are part of the join's key, too: a fingerprint goes to the cell of its distance to a pivot, and to the
+cell below if it is near the border, so that fingerprints meet only if that coordinate lets them link. Coordinates alone
+cannot keep pairs apart at scale (each lets about 46 % of random pairs pass), hence the other part of the key: of 5
+blocks of bits, 3 differing bits leave 2 untouched, so linked fingerprints agree on at least one of the 10 pairs of
+blocks. Large groups take the cells of more pivots, and what is still above ``CHUNK`` is dealt out as pairs of chunks.
+Work within a group gives the group's components as stars, one row for each member at most.
 
 Defined results: null and blank texts have fingerprint zero; texts of one or two words are one shingle; repeated rows
 share a component; a null doc_id never names a component if another does; an empty table gives an empty result.
@@ -22,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -34,8 +37,10 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BLOCKS = (13, 13, 13, 13, 12)
 #: Reference fingerprints: hashes of 0, 1, 2, ...
 N_PIVOTS = 32
-#: Members of a group that are compared at once.
-CHUNK = 2048
+#: Distances to a pivot in a cell of the join's key, and pivots that a group takes at most.
+CELL, MOST_PIVOTS = 8, 6
+#: Members of a group from which it takes one more pivot, and members that are compared at once.
+CROWD, CHUNK = 64, 2048
 
 
 def fingerprint(text: str | None) -> int:
@@ -70,23 +75,31 @@ def pivots(n: int = N_PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) for i in range(n)], dtype=np.uint64)
 
 
+def distances(fp: Column) -> Column:
+    """The row of the pivot table for one fingerprint: its Hamming distances to all pivots."""
+    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(int(p)))).cast("tinyint") for p in pivots().view(np.int64)))
+
+
+def near_pairs(rows: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of ``rows``, of ``table``) whose largest difference of coordinates is ``MAX_BITS`` at most.
+
+    Both hold one pivot's distances in a row.
+    """
+    return np.nonzero(np.abs(rows[:, :, None] - table[:, None, :]).max(axis=0) <= MAX_BITS)
+
+
 def linked_stars(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
-    """(member, smallest member of its component) for members other than the smallest, of one group."""
-    n = len(fps)
-    if n == 2:
-        near = np.abs(table[0].astype(np.int16) - table[1]).max() <= MAX_BITS and np.bitwise_count(fps[0] ^ fps[1]) <= MAX_BITS
-        return [(int(fps.max()), int(fps.min()))] if near else []
+    """(member, smallest member of its component) for members other than the smallest, of one group.
+
+    ``table`` holds a member's distances to the pivots in a row.
+    """
+    n, columns = len(fps), np.ascontiguousarray(table.T)
     adjacent = np.zeros((n, n), dtype=bool)
-    for at in range(0, n, 256):
-        rows = table[at : at + 256].astype(np.int16)
-        maybe = np.abs(rows[:, None, 0] - table[None, :, 0]) <= MAX_BITS
-        for p in range(1, 4):
-            maybe &= np.abs(rows[:, None, p] - table[None, :, p]) <= MAX_BITS
-        i, j = np.nonzero(maybe)
-        fine = np.abs(rows[i] - table[j]).max(axis=1, initial=0) <= MAX_BITS if len(i) < 200_000 else np.ones(len(i), bool)
-        i, j = i[fine] + at, j[fine]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= MAX_BITS
-        adjacent[i[near], j[near]] = True
+    step = max(1, (1 << 20) // columns.size)
+    for at in range(0, n, step):
+        i, j = near_pairs(columns[:, at : at + step], columns)
+        near = np.bitwise_count(fps[i + at] ^ fps[j]) <= MAX_BITS
+        adjacent[i[near] + at, j[near]] = True
     order, left, out = np.argsort(fps), np.ones(n, dtype=bool), []
     for root in order:
         if not left[root]:
@@ -100,16 +113,18 @@ def linked_stars(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+GROUP = ("c", "key", "cell", "i", "j")
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: (c, key, i, j, fp). A group is bounded by 2 * CHUNK or so; it may span batches."""
-    refs = pivots()
-    held: list[np.ndarray] = []
+    """Rows sorted by group: (c, key, cell, i, j, fp, pivots). A group is bounded by 2 * CHUNK or so; it may span batches."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     name, out = None, []
 
     def close() -> None:
-        fps = np.unique(np.concatenate(held))
+        fps, first = np.unique(np.concatenate([x for x, _ in held]), return_index=True)
         if len(fps) > 1:
-            out.extend(linked_stars(fps, np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)))
+            out.extend(linked_stars(fps, np.concatenate([t for _, t in held])[first]))
 
     def made() -> pa.RecordBatch:
         pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
@@ -117,10 +132,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("c", "key", "i", "j")]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in GROUP]
         fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
         if not len(fps):
             continue
+        table = batch.column("pivots").flatten().to_numpy(zero_copy_only=False).reshape(len(fps), -1)
         change = np.zeros(len(fps), dtype=bool)
         for col in cols:
             change[1:] |= col[1:] != col[:-1]
@@ -131,7 +147,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 close()
                 held = []
             name = group
-            held.append(fps[a:b])
+            held.append((fps[a:b], table[a:b]))
         if len(out) > 10_000:
             yield made()
     if held:
@@ -139,24 +155,45 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
-def fingerprint_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints that tie together all that link, from ``nodes`` (fp, distinct)."""
+def cells_of(pivot_distances: Column, first: Column, depth: Column) -> Column:
+    """The cells, as hashes, in which a fingerprint meets others by ``depth`` pivots from number ``first`` on.
+
+    A fingerprint goes to the cell of its distance and, if that is within ``MAX_BITS`` of the cell's start, to the cell
+    below; two that can link share one of them for every pivot.
+    """
+    return F.aggregate(
+        F.transform(F.sequence(F.lit(0), F.lit(MOST_PIVOTS - 1)), lambda x: F.struct(x.alias("x"), F.element_at(pivot_distances, F.pmod(first + x, F.lit(N_PIVOTS)).cast("int") + 1).cast("int").alias("d"))),
+        F.array(F.lit(0).cast("long")),
+        lambda cells, p: F.when(p.x >= depth, cells).otherwise(F.flatten(F.transform(cells, lambda c: F.when(p.d % CELL < MAX_BITS, F.array(F.xxhash64(c, F.floor(p.d / CELL)), F.xxhash64(c, F.floor(p.d / CELL) - 1))).otherwise(F.array(F.xxhash64(c, F.floor(p.d / CELL))))))),
+    )
+
+
+def fingerprint_links(nodes: DataFrame, chunk: int = CHUNK, crowd: int = CROWD) -> DataFrame:
+    """(a, b) pairs of distinct fingerprints that tie together all that link, from ``nodes`` (fp, distinct, and its
+    ``pivots`` if they are there already)."""
+    if "pivots" not in nodes.columns:
+        nodes = nodes.withColumn("pivots", distances(F.col("fp")))
     keys = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for c, m in enumerate(block_masks())))).alias("k")).select("fp", "k.c", "k.key")
     many = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keys.join(many, ["c", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk))
+    # one pivot more for each doubling of the group: it halves the pairs, and sends a member 1.4 times
+    depth = F.least(F.greatest(F.ceil(F.log2(F.col("n") / crowd)), F.lit(0)), F.lit(MOST_PIVOTS))
+    members = keys.join(many, ["c", "key"]).join(nodes.select("fp", "pivots"), "fp")
+    placed = members.select("c", "key", "fp", "pivots", F.explode(cells_of(F.col("pivots"), F.col("c") * 3, depth)).alias("cell"), "n")
+    crowds = placed.filter(F.col("n") > chunk).groupBy("c", "key", "cell").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    met = placed.join(crowds, ["c", "key", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-    dealt = met.withColumn("mine", mine).select("c", "key", "fp", F.explode(pairs).alias("p")).select("c", "key", "p.i", "p.j", "fp")
-    return dealt.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j").mapInArrow(_stars, "a long, b long").distinct()
+    dealt = met.withColumn("mine", mine).select("c", "key", "cell", F.explode(pairs).alias("p"), "fp", "pivots").select("c", "key", "cell", "p.i", "p.j", "fp", "pivots")
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_stars, "a long, b long").distinct()
 
 
 def components(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp)."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("pivots", distances(F.col("fp"))), "nodes")
     # a node is ordered by its first document, so a component's root names it without another join
     key = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
     side = lambda x: nodes.select(F.col("fp").alias(x), key.alias(f"{x}_key"))
-    named = fingerprint_links(nodes.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    named = fingerprint_links(nodes.select("fp", "pivots")).join(side("a"), "a").join(side("b"), "b")
     tied = connected_components(named, [], "a_key", "b_key").select(F.col("node.fp").alias("fp"), F.col("root.first").alias("named"), F.lit(True).alias("tied"))
     named = F.when(F.col("tied"), F.col("named")).otherwise(F.col("first")).alias("component_id")
     # written, so that joins with it deal both sides anew and Spark can split those of a fingerprint with many copies
