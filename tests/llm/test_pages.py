@@ -66,6 +66,72 @@ def test_copies_and_fixed_headings_stay(spark):
     assert got == {i: t for i, (_, _, t) in enumerate(rows)}
 
 
+@pytest.mark.parametrize("depth", [3, 64, 100, 5000])
+def test_names_tell_at_any_depth(depth):
+    """Noise and main elements far below the depth at which style paths end."""
+    deep = lambda x: f"<body>{'<div>' * depth}{x}{'</div>' * depth}</body>"
+    assert styletree.main_text(deep("<nav>menu</nav><p>kept</p><div class=advert>buy</div><form>f</form>")) == "kept"
+    assert styletree.main_text(deep("<p>out</p><article><p>kept</p><footer>f</footer></article>") + "<p>out</p>") == "kept"
+    assert styletree.main_text(f"<nav>{'<div>' * depth}menu{'</div>' * depth}</nav><p>kept</p>") == "kept"
+
+
+def test_names_of_inline_elements():
+    page = "<p>One <span class='advert'>Buy <span>now</span> <b>this</b></span>two<a class=share href=x>Share</a> three.</p>"
+    assert styletree.main_text(page) == "One two three."
+    assert styletree.main_text("<p>a <span class=promo>b</p><p>c</p>") == "a\nc"
+    assert styletree.main_text("<div>a <span class=promo><div>b</div></span> c</div>") == "a\nc"
+    assert styletree.main_text("<pre>x <span class='comment'># y</span></pre>") == "x # y"
+    assert styletree.main_text("<article><p><span class=header>T</span> a</p></article>") == "T a"
+
+
+def test_names_leave_through_the_tree(spark):
+    """What names tell are branches of the tree: without its low branches they stay in the page."""
+    page = "<body><nav>menu {0}</nav><article><p>Text {0}</p></article><footer>f {0}</footer></body>"
+    df = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i}", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.text for r in styletree.extract_text(df).collect()} == {f"Text {i}" for i in range(12)}
+    none = spark.createDataFrame([], "host string, template long, low array<string>")
+    assert {r.text for r in styletree.extract_text(df, none).collect()} == {f"menu {i}\nText {i}\nf {i}" for i in range(12)}
+
+
+def test_importance_goes_up(spark):
+    """A branch leaves only if all below it are low: an element with one fixed child stays around its other child."""
+    page = "<body><div class=a><p class=x>Fixed</p><p class=y>Text {0}</p></div><div class=b><ul><li>Fixed</li></ul></div></body>"
+    df = spark.createDataFrame([("h", page.format(i)) for i in range(64)], "host string, html string")
+    seen = {r.node: r.importance for r in styletree.importance(df).collect()}
+    assert seen["body/div.a"] == seen["body/div.a/p.y"] == seen["body"] == pytest.approx(1.0)
+    assert seen["body/div.a/p.x"] == seen["body/div.b"] == 0.0
+
+
+def test_style_trees_against_brute_force(spark):
+    """Random pages without telling names: entropies, branches and texts by plain loops."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        parts = [f"<div class=k{k}>{rng.choice(['same', f'text {i}', f'few {i % 3}'] if k != 2 else ['same'])}<p>{'fixed' if k % 2 else f'own {i} {k}'}</p></div>" for k in range(5) if rng.random() < 0.8]
+        rows.append((i, f"http://h{i % 4}.example/", f"<body>{''.join(parts)}</body>"))
+    leaf_digests, all_digests, pages_of = defaultdict(list), defaultdict(list), {}
+    for i, url, page in rows:
+        host = url.split("/")[2]
+        pages_of[i] = (host, styletree.style_nodes(page))
+        for node, digest in pages_of[i][1].items():
+            leaf_digests[host, node].append(digest)
+            all_digests[node].append(digest)
+
+    def entropy(x):
+        m = len(x)
+        return -sum(x.count(d) / m * math.log(x.count(d) / m) for d in set(x)) / math.log(m) if m > 1 else 1.0
+
+    own = {(h, n): (len(x) * entropy(x) + styletree.LEAN * (entropy(all_digests[n]) if len(all_digests[n]) >= styletree.LEAN else 1.0)) / (len(x) + styletree.LEAN) for (h, n), x in leaf_digests.items()}
+    branch = {(h, n): max(v for (g, k), v in own.items() if g == h and (k == n or k.startswith(f"{n}/"))) for h, n in own}
+    low = {(h, n) for (h, n), v in branch.items() if v < styletree.LOW and (len(leaf_digests[h, n]) >= styletree.LEAST or len(all_digests[n]) >= styletree.LEAST)}
+    told = {i: styletree.main_text(page, frozenset(n for h, n in low if h == pages_of[i][0])) for i, _, page in rows}
+    assert {r.page_id: r.text for r in styletree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == told
+    assert low and any("same" not in t for t in told.values())
+
+
 def test_article_of_generated_pages(spark, small):
     rows = registry.op7_style_tree(spark, small).collect()
     for r in rows:
