@@ -1,6 +1,6 @@
 import base64
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -254,6 +254,42 @@ def test_nearest_brute_force(spark):
     assert set(got) == set(range(0, 500, 20))
 
 
+def test_nearest_of_repeated_ids(spark):
+    """Rows that share an id, with equal and with other vectors, against rows numbered by hand."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    ids = [i % 90 for i in range(300)]
+    for a, b in ((0, 90), (0, 180), (20, 110), (1, 91)):
+        x[b] = x[a]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), query_block=7, candidate_block=64).collect())
+    told, wide = Counter(), x.astype(np.float64)
+    for q in (n for n in range(300) if ids[n] % 20 == 0):
+        score = ann.inner(np.repeat(wide[q : q + 1], 300, axis=0), wide)
+        order = sorted((n for n in range(300) if n != q), key=lambda n: (-score[n], ids[n]))[:20]
+        told.update((ids[q], k + 1, ids[n], score[n]) for k, n in enumerate(order))
+    assert got == told
+
+
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    """Components that are subnormal, or whose products leave the range of doubles."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 6))
+    x[:30] *= 5e-324 / np.abs(x[:30]).max() * 3
+    x[30:60] *= 1e-170
+    x[60:80] *= 1e160
+    x[(x == 0).all(axis=1), 0] = 5e-324
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), candidate_block=50).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in range(0, 120, 20):
+        with np.errstate(all="ignore"):
+            score = np.nan_to_num(ann.inner(np.repeat(x[q : q + 1], 120, axis=0), x), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        order = sorted((i for i in range(120) if i != q), key=lambda i: (-score[i], i))[:20]
+        assert sorted(got[q]) == [(k + 1, i, score[i]) for k, i in enumerate(order)]
+
+
 def test_nearest_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in sorted(ann.nearest(df, df.filter("vec_id = 0")).collect())] == [(1, 1), (2, 2)]
