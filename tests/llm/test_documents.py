@@ -40,6 +40,16 @@ def test_quality_counts(spark, small, odd_docs):
     assert got == sorted((str(i), *counts(t)) for i, t in texts)
 
 
+@pytest.mark.parametrize("hash", ["0L", "length(z.w[i])", "xxhash64(z.w[i])", "xxhash64(z.w[i], z.w[i + 1], z.w[i + 2]) % 3"])
+def test_repeats_under_collisions(spark, hash):
+    """Windows that share a hash, interleaved in every way, neither lose nor add a repeat."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, k, n)) for k in (2, 5, 12, 40) for n in (0, 1, 3, 4, 5, 30, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", quality.words_of(F.col("text")).alias("w"))
+    got = {r.id: r.n for r in df.select("id", F.expr(quality.repeat_sql("w", hash)).alias("n")).collect()}
+    assert got == {i: counts(t)[4] for i, t in enumerate(texts)}
+
+
 def test_quality_against_sql(spark, small, duck, same):
     same(registry.op6_quality(spark, small), duck, registry.ORACLE_SQL["op6_quality"])
 

@@ -30,34 +30,36 @@ MIN_GROUP = 200
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Words covered by 3-word windows that occur twice or more. Windows are sorted as hash-and-position longs; equal
-#: neighbours are then compared word by word, so that a collision of hashes marks nothing.
+#: Words covered by 3-word windows that occur twice or more. Windows are sorted as longs of a hash and a position, and
+#: those with an equal neighbour are held against it word by word. If all agree, equal hashes are equal windows; if two
+#: windows share a hash, the text's windows are sorted by their words instead, so that no collision marks or loses one.
 _REPEATS = """
 transform(array(named_struct('w', {w}, 'b', length(bin(size({w}))))), z -> CASE WHEN size(z.w) < 4 THEN 0L ELSE
   aggregate(
-    transform(array(sort_array(transform(sequence(0, size(z.w) - 3),
-        i -> shiftleft(xxhash64(z.w[i], z.w[i + 1], z.w[i + 2]), z.b) | i))), p ->
-      sort_array(transform(
-        filter(sequence(0, size(p) - 1), k ->
-          (k > 0 AND shiftright(p[k], z.b) = shiftright(p[greatest(k - 1, 0)], z.b)
-             AND {same_before})
-          OR (k < size(p) - 1 AND shiftright(p[k], z.b) = shiftright(p[least(k + 1, size(p) - 1)], z.b)
-             AND {same_after})),
-        k -> {at_k})))[0],
+    transform(array(sort_array(transform(sequence(0, size(z.w) - 3), i -> shiftleft({hash}, z.b) | i))), p ->
+      transform(array(filter(sequence(0, size(p) - 1), k ->
+          (k > 0 AND shiftright(p[k], z.b) = shiftright(p[greatest(k - 1, 0)], z.b))
+          OR (k < size(p) - 1 AND shiftright(p[k], z.b) = shiftright(p[least(k + 1, size(p) - 1)], z.b)))), ks ->
+        CASE WHEN forall(ks, k -> k = 0 OR shiftright(p[k], z.b) <> shiftright(p[greatest(k - 1, 0)], z.b) OR ({same}))
+        THEN sort_array(transform(ks, k -> {at_k}))
+        ELSE transform(array(sort_array(transform(sequence(0, size(z.w) - 3), i -> named_struct('g', concat_ws(' ', z.w[i], z.w[i + 1], z.w[i + 2]), 'i', i)))), s ->
+          sort_array(transform(
+            filter(sequence(0, size(s) - 1), k -> (k > 0 AND s[k].g = s[greatest(k - 1, 0)].g) OR (k < size(s) - 1 AND s[k].g = s[least(k + 1, size(s) - 1)].g)),
+            k -> s[k].i)))[0] END)[0])[0],
     named_struct('e', -3, 'c', 0L),
     (a, q) -> named_struct('e', q + 2, 'c', a.c + least(3, q + 2 - a.e)),
     a -> a.c) END)[0]
 """
 
 
-def _repeat_sql(w: str) -> str:
+def repeat_sql(w: str, hash: str = "xxhash64(z.w[i], z.w[i + 1], z.w[i + 2])") -> str:
+    """The number of words of the array ``w`` that lie in repeated windows; ``hash`` is a window's hash."""
+
     def at(x: str) -> str:
         return f"CAST(p[{x}] & (shiftleft(1L, z.b) - 1) AS INT)"
 
-    def same(x: str) -> str:
-        return " AND ".join(f"z.w[{at('k')} + {d}] = z.w[{at(x)} + {d}]" for d in range(3))
-
-    return _REPEATS.format(w=w, at_k=at("k"), same_before=same("greatest(k - 1, 0)"), same_after=same("least(k + 1, size(p) - 1)"))
+    same = " AND ".join(f"z.w[{at('k')} + {d}] = z.w[{at('greatest(k - 1, 0)')} + {d}]" for d in range(3))
+    return _REPEATS.format(w=w, hash=hash, at_k=at("k"), same=same)
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -75,7 +77,7 @@ def quality_signals(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("_w", "")).cast("long"),
         "n_symbols": _count(t, r"[#*$%&|<>]"),
         "n_dup_lines": F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long"),
-        "n_repeat_words": F.expr(_repeat_sql("_w")),
+        "n_repeat_words": F.expr(repeat_sql("_w")),
         "n_lines": F.size(lines).cast("long"),
         "n_upper": _count(t, r"\p{Lu}"),
         "n_shout": _count(t, r"[!?]"),
@@ -156,12 +158,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are.
 
-    Texts are not shuffled: fences come from a thin table, then the signals are computed again beside the texts.
+    Signals are computed once and written beside the rows, so that neither is done again nor are texts shuffled: the
+    fences come from the thin columns, and the verdict is a filter over what was written.
     """
     names = docs.columns
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "lang", "source", "text")
-    thin = cut(quality_signals(plain.drop("row")).drop("text"), "quality")
-    return judge(quality_signals(plain).drop("text"), cut(thresholds(thin), "fences")).filter("kept").select("row.*")
+    written = cut(quality_signals(plain).drop("text"), "quality")
+    return judge(written, cut(thresholds(written), "fences")).filter("kept").select("row.*")
 
 
 _ORACLE_SIGNALS = ", ".join(f"('{s}', {s}, {slack})" for s, slack in SIGNALS.items())
