@@ -191,6 +191,33 @@ def test_archive_notices_damage(spark, small, tmp_path):
         archive.read_archive(spark, str(tmp_path / "x")).collect()
 
 
+def test_parsed_records(spark, odd_pages, tmp_path):
+    """Bytes parse back to what made them, with any url and payload; damaged bytes fail."""
+    rows = [(1, "http://é.example/漢", "a\r\n\r\nb"), (2, "http://x/\r\nWARC-Type: revisit", "WARC/1.1\r\n\r\n"), (3, None, "\u00ff\x00\r\n\r\n"), (4, "u", ""), (5, "v", ""), (6, "w", "x" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive.write_archive(pages, str(tmp_path / "w"))
+    made = archive.record_bytes(archive.archived_records(spark, str(tmp_path / "w")))
+    got = {int(r.header.split("<urn:page:")[1].split(">")[0]): r for r in archive.parsed_records(made).collect()}
+    assert {r.header for r in got.values()} == {r.header for r in made.collect()}
+    assert {i: bytes(got[i].payload).decode() for i in (1, 2, 3, 4, 6)} == {i: h for i, _, h in rows if i != 5}
+    assert "WARC-Type: revisit" in got[5].header and bytes(got[5].payload) == b"" and got[5].http.startswith("HTTP/1.1 200 OK\r\n")
+    for broken in ("substring(record, 1, length(record) - 1)", "concat(substring(record, 1, length(record) - 5), encode('!', 'UTF-8'), substring(record, -4, 4))", "substring(record, 2)", "encode('', 'UTF-8')"):
+        with pytest.raises(PySparkException):
+            archive.parsed_records(made.filter("header LIKE '%WARC-Type: response%' AND length(payload) > 0").selectExpr(f"{broken} AS record")).collect()
+
+
+def test_stored_payloads_meet_headers_without_an_exchange(spark, small, tmp_path):
+    archive.write_archive(spark.read.parquet(f"{small}/pages.parquet"), str(tmp_path / "w"))
+    carrying = archive.archived_records(spark, str(tmp_path / "w"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = carrying._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_archive_against_sql(spark, small, duck, same):
     same(registry.op8_archive(spark, small), duck, registry.ORACLE_SQL["op8_archive"])
 
