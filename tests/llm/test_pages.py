@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tracegrid.llm import ann, archive, registry, styletree, urlfilter
 
@@ -255,6 +256,18 @@ def test_nested_rules_over_many_ranges(spark):
     assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == sorted((i, *brute(u, rules)) for i, u in enumerate(urls * 40))
 
 
+def test_copies_of_one_url_span_ranges(spark):
+    """One key holds most rows: bounds repeat it, its rows are dealt to several ranges, and rules reach each of them."""
+    rules = [("block", "net", "/"), ("allow", "hot.net", "/x")]
+    urls = ["http://www.hot.net/x/y"] * 900 + [f"http://h{i}.net/x" for i in range(60)] + [None] * 40
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    keyed = df.select(F.concat(urlfilter.host_key(urlfilter.host_of(F.col("url"))), urlfilter.path_of(F.col("url"))).alias("key"))
+    bounds = urlfilter.range_bounds(keyed, 10, 1000)
+    assert len(bounds) == 9 and Counter(bounds).most_common(1)[0][1] > 5
+    got = urlfilter.filter_urls(df, spark.createDataFrame(rules, "verdict string, host string, path string"), range_rows=100).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == sorted((i, *brute(u, rules)) for i, u in enumerate(urls))
+
+
 def test_urls_against_sql(spark, small, duck, same):
     same(registry.op10_url_filter(spark, small), duck, registry.ORACLE_SQL["op10_url_filter"])
 

@@ -6,8 +6,10 @@ dealt to ranges of keys and sorted together; one sweep over a range keeps a stac
 the current key. A url takes the longest rule on the stack whose path its own path starts with: the longest host
 first, then the longest path.
 
-Ranges are cut at full keys (host and path), so a hot host spans many of them; a rule goes to each range that its
-interval meets. Their bounds come from a bounded sample of keys, which only decides where rows go.
+Ranges are cut at full keys (host and path), so a hot host spans many of them, and a single key that is a large part of
+all rows spans several too: between equal bounds its rows are dealt round robin. A rule goes to each range that its
+interval meets. Bounds are quantiles of a sample of keys (``PER_RANGE`` for each range, at most ``MOST_RANGES`` ranges,
+so 400,000 keys at any size of the data); the sample only decides where rows go. A key finds its range by bisection.
 
 Defined results: a null url, or one without "://", has empty host and path and meets no rule; a url that no rule fits
 is allowed; repeated rows are judged alike; an empty table gives an empty result; without rules all is allowed.
@@ -15,8 +17,10 @@ is allowed; repeated rows are judged alike; an empty table gives an empty result
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from typing import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
-#: Keys that are looked at to cut ranges, and urls in a range.
-SAMPLE, RANGE_ROWS = 20_000, 200_000
+#: Urls in a range, keys that are looked at for each range to cut them, and ranges at most (they grow beyond).
+RANGE_ROWS, PER_RANGE, MOST_RANGES = 200_000, 20, 20_000
+#: Sorts after all that a key holds.
+LAST = "\U0010ffff"
 
 
 def host_of(url: Column) -> Column:
@@ -77,28 +83,42 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keep["page_id"], pa.int64()), *(pa.array(keep[k], pa.string()) for k in ("host", "path", "rule", "verdict"))], names=list(keep))
 
 
+def range_bounds(urls: DataFrame, ranges: int, n: int) -> list[str]:
+    """Keys that cut ``urls`` (key) into about equal ranges; a key that is a large part of all comes several times."""
+    if ranges < 2:
+        return []
+    share = min(1.0, PER_RANGE * ranges / n)
+    drawn = sorted(r.key for r in urls.sample(fraction=share, seed=7).select("key").collect())  # about PER_RANGE * ranges
+    return [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page."""
     spark = pages.sparkSession
     rules = rule_table(spark) if rules is None else rules
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("key", F.concat(host_key(F.col("host")), F.col("path")))
     n = urls.count()
-    cells = max(1, -(-n // range_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1000))
-    bounds: list[str] = []
-    if cells > 1:
-        share = min(1.0, SAMPLE / n)
-        drawn = sorted(r.key for r in urls.filter(F.pmod(F.xxhash64("page_id", "key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("key").limit(2 * SAMPLE).collect())
-        bounds = sorted({drawn[len(drawn) * i // cells] for i in range(1, cells)}) if drawn else []
-    # cell of a key: how many bounds are at most the key; fewer than ``cells`` strings, whatever the number of urls
-    cell = F.lit(0)
-    if bounds:
-        cell = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("key")))
-    dealt = urls.select(cell.alias("cell"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
-    first = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    last = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.concat(F.col("key"), F.lit("\U0010ffff")))) if bounds else F.lit(0)
-    ruled = rules.withColumn("key", host_key(F.lower("host"))).select(F.explode(F.sequence(first, last)).alias("cell"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lower("host").alias("host"), "path", "verdict")
-    return dealt.unionByName(ruled).repartition(cells, "cell").sortWithinPartitions("cell", "key", "kind").mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string")
+    ranges = min(MOST_RANGES, max(1, -(-n // range_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 1000)))
+    bounds = spark.sparkContext.broadcast(range_bounds(urls, ranges, n))  # at most MOST_RANGES keys
+
+    @F.pandas_udf("int")
+    def dealt_to(keys: pd.Series) -> pd.Series:
+        cuts = bounds.value
+        first = [bisect_left(cuts, k) for k in keys]
+        last = [bisect_right(cuts, k, a) for k, a in zip(keys, first)]
+        return pd.Series([a + i % (b - a + 1) for i, (a, b) in enumerate(zip(first, last))], dtype="int32")
+
+    @F.pandas_udf("array<int>")
+    def met_in(keys: pd.Series) -> pd.Series:
+        cuts = bounds.value
+        return pd.Series([list(range(bisect_left(cuts, k), bisect_right(cuts, k + LAST) + 1)) for k in keys], dtype=object)
+
+    dealt = urls.select(dealt_to("key").alias("cell"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+    hosts = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    ruled = rules.select(hosts.alias("host"), "path", "verdict").withColumn("key", host_key(F.col("host")))
+    ruled = ruled.select(F.explode(met_in("key")).alias("cell"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict")
+    return dealt.unionByName(ruled).repartition(ranges, "cell").sortWithinPartitions("cell", "key", "kind").mapInArrow(_sweep, "page_id long, host string, path string, rule string, verdict string")
 
 
 ORACLE = r"""
