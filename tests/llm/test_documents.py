@@ -139,6 +139,26 @@ def test_mix_is_even_everywhere(spark, small):
         assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))
 
 
+def test_mixing_meets_small_targets(spark, small):
+    """Sources of a few words beside large ones, and copies of one row as a third of all: every target is met to the word."""
+    rows = [(i, "w " * (i % 90 + 1), "big") for i in range(600)] + [(7, "copy of one row", "big")] * 400 + [(1000 + i, "a b c", f"small{i}") for i in range(5)] + [(2000, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    for n_slots in (64, mixing.SLOTS):
+        placed, pieces = mixing.mix_sources(mixing.thin_documents(docs, 0), n_slots)
+        source = {r.uid: r for r in placed.collect()}
+        assert len(source) == len(rows) and {r.source: r.source_size for r in source.values()}["small3"] == 3
+        taken, lines, slots = Counter(), defaultdict(set), set()
+        for r in pieces.collect():
+            taken[source[r.uid].source] += r.length
+            slots.add((r.slot, source[r.uid].source))
+        for r in source.values():
+            span = set(range(r.pos, r.pos + r.size))
+            assert not span & lines[r.source]
+            lines[r.source] |= span
+        assert all(lines[s] == set(range(len(lines[s]))) for s in lines)
+        assert all(taken[r.source] == round(r.target) for r in source.values()) and len({s for s, _ in slots}) == len(slots)
+
+
 def test_mixing_edges(odd_docs, no_docs):
     rows = mixing.taken_words(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r.taken == 0 for r in rows if r.size == 0)
@@ -199,6 +219,19 @@ def test_packer_levels():
         assert [0, *(len(x) for x in p.open[1:16])] == [0, *map(int, p.counts[1:16])]
 
 
+def test_encoder_agrees_on_any_text():
+    """Random Unicode, long words and runs of white space: the faster form of the vocabulary gives the tokenizer's ids."""
+    import random
+
+    encode, whole = packing.token_encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    kinds = [range(32, 127), range(9, 14), range(0xA0, 0x250), range(0x370, 0x530), range(0x5D0, 0x700), range(0x900, 0xA00), range(0x2000, 0x2070), range(0x300, 0x370), range(0x4E00, 0x5000), range(0xAC00, 0xAD00), range(0x1F300, 0x1F700), range(0xFE00, 0xFE10), range(0, 32), range(0xD7B0, 0xD800), range(0xE000, 0xE010), range(0x10000, 0x10100)]
+    texts = ["".join(chr(rng.choice(rng.choice(rng.sample(kinds, 3)))) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += [" " * 3000, "\n" * 3000 + "x", "a" * 1_000_000, "".join(rng.choices("abcdefgh", k=1_000_000)), "漢" * 100_000, "1" * 50_000, "e\u0301" * 20_000]
+    for text in texts:
+        assert list(encode(text)) == [*whole.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_encoder_agrees_with_tokenizer():
     encode, whole = packing.token_encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("", "a b  c\n\n d", "Ünï 漢字 😀", "x" * 5000, "<|endoftext|> y", "\x00\x1f'll 1234567"):
@@ -223,7 +256,8 @@ def test_sharding(spark, small):
     assert max(load.values()) - min(load.values()) <= largest
     first, last = (spark.read.parquet(f"{path}/version={v}").collect() for v in (0, 1))
     assert len(first) == len(last) == sharding.SLOTS
-    moved = {r.vslot for r in last} - {r.vslot for r in last if dict((x.vslot, x.shard) for x in first)[r.vslot] == r.shard}
+    before = {r.vslot: r.shard for r in first}
+    moved = {r.vslot for r in last if before[r.vslot] != r.shard}
     assert len(moved) < sharding.SLOTS / 4
 
 
@@ -236,6 +270,24 @@ def test_rebalancing_moves_little():
     assert sharding.rebalanced([0, 1], [0, 0], 2) == ([0, 1], [])
 
 
+@pytest.mark.parametrize("part_rows", [sharding.PART_ROWS, 20])
+def test_sharding_of_copies(spark, monkeypatch, part_rows):
+    """A third of all rows are copies of one record, a third share an id or have none: shards stay even, slots gapless."""
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    rows = [(1, "the copy")] * 900 + [(2, f"text {i}") for i in range(450)] + [(None, None)] * 450 + [(i, f"text {i}") for i in range(3, 903)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard_documents(docs, 8, 1024)[0].collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    load, places = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert max(load.values()) - min(load.values()) <= 0.05 * sum(load.values()) / 8
+    again = sharding.shard_documents(docs.repartition(3), 8, 1024)[0].collect()
+    assert Counter((r.doc_id, r.text_crc32, r.vslot, r.shard) for r in got) == Counter((r.doc_id, r.text_crc32, r.vslot, r.shard) for r in again)
+
+
 def test_sharding_edges(odd_docs, no_docs):
     rows = sharding.shard_documents(odd_docs)[0].collect()
     assert len(rows) == odd_docs.count() and all(0 <= r.shard < 40 for r in rows)
@@ -427,6 +479,48 @@ def test_toxicity_never_sees_held_out_labels(spark, small):
     assert a == b
 
 
+def brute_features(text, lexicon):
+    """The features by their definitions, one token after the other."""
+    text = text or ""
+    tokens = text.lower().split()
+    seen = {}
+    for token in set(tokens):
+        plain = re.sub(r"^\W+|\W+$", "", token)
+        plain = plain if plain.isalpha() else re.sub(r"[\W_]", "", "".join(dict(zip("013457@$!|", "oieastasil")).get(c, c) for c in plain))
+        names = [[plain] * bool(plain), [f"{n}{plain[:n]}" for n in (4, 5) if len(plain) > n]]
+        weigh = lambda t: toxicity.weight(*lexicon.counts[t], lexicon.toxic, lexicon.clean) if lexicon.counts.get(t, (0, 0))[0] else 0.0
+        seen[token] = [max([0.0, *map(weigh, x)]) for x in names] + [bool(re.search(r"[^\W\d_].*[\d@$*|!_].*[^\W\d_]|[^\W\d_][.\-*_][^\W\d_][.\-*_][^\W\d_]", token))]
+    rows = [seen[t] for t in tokens]
+    hits = [i for i, r in enumerate(rows) if r[0] > 0 or r[1] > 0]
+    near = sum(any(tokens[j] in toxicity.SECOND_PERSON for j in range(max(0, i - 5), i + 6) if j < len(tokens)) for i in hits) / len(hits) if hits else 0.0
+    n, chars = max(1, len(tokens)), max(1, len(text))
+    return [
+        sum(r[0] for r in rows) / n, max([0.0, *(r[0] for r in rows)]), float(min(20, len({t for t, r in zip(tokens, rows) if r[0] > 0}))), sum(r[1] for r in rows) / n, max([0.0, *(r[1] for r in rows)]), near,
+        sum(c.isupper() for c in text) / chars, sum(c in "!?" for c in text) / chars, sum(c in ".,;:" for c in text) / chars, sum(r[2] for r in rows) / n, float(np.log1p(len(tokens))),
+    ]
+
+
+def test_toxicity_features(spark, small, odd_docs):
+    """Features of every small document and of odd texts against a brute force, with a lexicon of common and odd words."""
+    texts = [r.text for r in small_docs(spark, small).collect()] + [r.text for r in odd_docs.collect()]
+    texts += ["You 1d10t!! YOU are an i.d.i.o.t, Ünïcode É you", "a_b c.d.e f-g-h x@y $tupid", "IDIOT " * 500, "x" * 20_000 + " idiot du"]
+    words = Counter(toxicity.plain(t) for text in texts for t in (text or "").lower().split())
+    counts = {w: (3 + i % 5, i % 4) for i, (w, _) in enumerate(words.most_common(60)) if w} | {"idiot": (9, 0), "4idio": (5, 1), "5stupi": (4, 0), "tupid": (2, 0)}
+    lexicon = toxicity.Lexicon(counts, 100, 400)
+    for text in texts:
+        assert lexicon.features(text) == pytest.approx(brute_features(text, lexicon), rel=1e-9)
+
+
+def test_training_rows_are_bounded(spark):
+    """Copies count once and many texts under one id do not pass the bound."""
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(7, "the copy")] * 500 + [(8, f"text {i}") for i in range(3000)] + [(i, f"row {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    rows = toxicity.training_rows(docs, labels, 200).collect()
+    assert 100 < len(rows) < 300 and len(set(map(tuple, rows))) == len(rows)
+    few = toxicity.training_rows(docs.filter("doc_id <> 8"), labels, 200).collect()
+    assert sorted(r.doc_id for r in few) == sorted([i for i in range(40) if i != 8 and zlib.crc32(str(i).encode()) % 3 != 1] + [7])
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs):
     schema = "doc_id long, quality int, toxic int, score double"
     none = spark.createDataFrame([], schema)

@@ -1,10 +1,13 @@
 """Sharding by fixed virtual slots with a versioned slot-to-shard map (built-in functions only).
 
-A record's slot is a hash of its id and never changes. Bytes are summed per slot; version 0 of the map deals slots
-round robin, and each rebalancing writes a new version in which single slots have moved from the fullest shard to
-the emptiest. The map has ``SLOTS`` rows at any size of the data, so the driver edits it and joins broadcast it.
-
-Defined results: a null text has 0 bytes and the CRC of the empty string; a null id is hashed by its text; repeated
+A record's slot is a hash of its id, its text and its number among records that agree in both, and never changes. So
+neither many texts under one id nor many copies of one record share a slot that no edit of the map could split. Bytes
+are summed per slot; version 0 of the map deals slots round robin, and each rebalancing writes a new version in which
+single slots have moved from the fullest shard to the emptiest. The map has ``SLOTS`` rows at any size of the data, so
+the driver edits it and joins broadcast it. Places within a slot are counted in parts of about ``PART_ROWS`` records, so
+tasks do not grow with the data.
+
+Defined results: a null text has 0 bytes and the CRC of the empty string; a null id is an id of its own; repeated
 rows are records of their own; an empty table gives an empty result.
 """
 
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh_path
+from .common import copy_numbers, cut, fresh_path
 
 SLOTS = 8192
 SHARDS = 40
@@ -25,12 +28,21 @@ SHARDS = 40
 OVERHEAD = 16
 
 
+#: Records whose places are counted together.
+PART_ROWS = 65_536
+
+
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot) of every document."""
+    """(uid, doc_id, size, text_crc32, h, vslot) of every document; ``h`` is a hash that records of one slot differ in."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.coalesce(F.xxhash64(F.lit(1), F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))), F.lit(0))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(2), text)).otherwise(key)
-    return docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.pmod(key, F.lit(slots)).cast("int").alias("vslot"))
+    thin = docs.select(
+        F.monotonically_increasing_id().alias("uid"), "doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", text).alias("h"),
+    )
+    same = ["h", "size", "text_crc32", "doc_id"]
+    copies = copy_numbers(cut(thin.select("uid", "h", "size", "text_crc32", F.struct("doc_id").alias("doc_id")), "records"), same)
+    each = copies.select(*same, "before", F.posexplode("uids").alias("i", "uid")).withColumn("h", F.xxhash64("h", F.col("before") + F.col("i")))
+    return each.select("uid", "doc_id.doc_id", "size", "text_crc32", "h", F.pmod("h", F.lit(slots)).cast("int").alias("vslot"))
 
 
 def rebalanced(owner: list[int], weight: list[int], shards: int) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -68,12 +80,12 @@ def map_rows(spark: SparkSession, owner: list[int]) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, str]:
     """(doc_id, size, text_crc32, vslot, shard, slot) of every document, and the path of the map's versions.
 
-    ``slot`` is the record's place in its shard. Places are counted within a virtual slot and then added up over the
-    shard's slots, so no task sorts a whole shard.
+    ``slot`` is the record's place in its shard. Places are counted within parts of a virtual slot and then added up over
+    the slot's parts and the shard's slots, so no task sorts a whole shard or slot.
     """
     spark = docs.sparkSession
-    thin = cut(records(docs, slots).withColumn("uid", F.monotonically_increasing_id()), "records")
-    sums = thin.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    thin = cut(records(docs, slots), "slots")
+    sums = cut(thin.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "sums")
     weight, count = [0] * slots, [0] * slots
     for r in sums.collect():  # at most ``slots`` rows
         weight[r.vslot], count[r.vslot] = r.bytes, r.n
@@ -86,6 +98,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     latest = spark.read.parquet(f"{path}/version={int(bool(moves))}").select("vslot", "shard")
     counted = latest.join(F.broadcast(sums.select("vslot", "n")), "vslot", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     places = counted.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("n")).select("vslot", "shard", "before")
-    inside = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "uid")) - 1
+    # the hash's upper bits deal a slot's records to parts
+    parts = max(1, sum(count) // (slots * PART_ROWS))
+    dealt = thin.withColumn("part", F.pmod(F.shiftright("h", 24), F.lit(parts)))
+    inside = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "h", "uid")) - 1
+    dealt = dealt.withColumn("inside", inside)
+    if parts > 1:
+        upto = Window.partitionBy("vslot").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        held = dealt.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("earlier", F.sum("n").over(upto) - F.col("n")).drop("n")
+        dealt = dealt.join(held, ["vslot", "part"]).withColumn("inside", F.col("earlier") + F.col("inside"))
     # the map has ``slots`` rows at any size of the data
-    return thin.withColumn("inside", inside).join(F.broadcast(places), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot")), path
+    return dealt.join(F.broadcast(places), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot")), path

@@ -6,7 +6,8 @@ punctuation and obfuscated words. A labelled row's lines are taken out of the le
 training, so the trees see what a new text would show them.
 Trees and calibration learn from different rows, and neither sees ids, languages, sources or labels of a text.
 
-Learning uses rows whose crc32(doc_id) mod 3 is not 1, at most about ``TRAIN_ROWS`` of them by hash.
+Learning uses rows whose crc32(doc_id) mod 3 is not 1, at most about ``TRAIN_ROWS`` different ones by hash, whatever
+the number of copies or of texts under one id.
 
 Defined results: null and empty texts have zero features and get a score as any other; repeated rows score alike;
 without labelled rows of both classes every score is the share of toxic lines (0 if there are none); an empty table
@@ -130,12 +131,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, label) of about ``bound`` labelled rows at most, none of them held out."""
+    """(doc_id, text, label) of about ``bound`` different labelled rows at most, none of them held out.
+
+    Copies count once, and rows are drawn by a hash of id and text, so that many texts under one id keep to the bound.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = known.count()
-    if n > bound:
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    # hashes first: texts of rows that are not drawn are never shuffled
+    rows = docs.select("doc_id", drawn.alias("draw"), F.xxhash64("text", F.lit(5)).alias("name"), "text")
+    if n > bound:  # ids by the share that the bound allows them, which leaves about ``bound`` rows if ids are not repeated
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    rows = rows.join(known, "doc_id")
+    held = rows.select("doc_id", "draw", "name").distinct().count()
+    if held > bound:
+        rows = rows.filter(F.col("draw") < int(bound / held * (1 << 30)))
+    return rows.groupBy("doc_id", "draw", "name").agg(F.first("text").alias("text"), F.first("label").alias("label")).select("doc_id", "text", "label")
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
