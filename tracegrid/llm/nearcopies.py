@@ -155,7 +155,7 @@ def verified_links(nodes: DataFrame, texts: DataFrame, chunk: int = CHUNK, chunk
     """(a, b) pairs of uids with similar texts, from ``nodes`` (uid, words, keys) and ``texts`` (uid, text)."""
     banded = nodes.select("uid", F.posexplode("keys").alias("band", "key"))
     met = banded.groupBy("band", "key").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    near = banded.join(met, ["band", "key"]).filter("uid <> first").select("uid", "first").distinct()
+    near = cut(banded.join(met, ["band", "key"]).filter("uid <> first").select("uid", "first").distinct(), "candidates")
     families = connected_components(near, [], "uid", "first").select(F.col("node").alias("uid"), F.col("root").alias("family"))
     families = cut(families.join(nodes.select("uid", "words"), "uid"), "families")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("words") / chunk_words)).alias("chunks")
@@ -173,7 +173,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     held = cut(docs.select(row, F.monotonically_increasing_id().alias("uid"), sketch_of(F.col("text")).alias("s")), "sketches")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "uid", F.col("s.words").alias("words"), F.col("s.keys").alias("keys"))).alias("f")
     nodes = cut(held.groupBy("s.d1", "s.d2").agg(first).select("f.*"), "nodes")
-    links = verified_links(nodes.select("uid", "words", "keys"), held.select("uid", F.col("row.text").alias("text")))
+    links = cut(verified_links(nodes.select("uid", "words", "keys"), held.select("uid", F.col("row.text").alias("text"))), "links")  # read twice: for the ties and for their ends
     # a node is ordered by its document, so a group's root is the row that stays
     side = lambda x: nodes.select(F.col("uid").alias(x), F.struct("none", "doc_id", "uid").alias(f"{x}_key"))
     tied = connected_components(links.join(side("a"), "a").join(side("b"), "b"), [], "a_key", "b_key")

@@ -193,7 +193,8 @@ def components(prints: DataFrame) -> DataFrame:
     # a node is ordered by its first document, so a component's root names it without another join
     key = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
     side = lambda x: nodes.select(F.col("fp").alias(x), key.alias(f"{x}_key"))
-    named = fingerprint_links(nodes.select("fp", "pivots")).join(side("a"), "a").join(side("b"), "b")
+    links = cut(fingerprint_links(nodes.select("fp", "pivots")), "links")  # read twice: for the ties and for their ends
+    named = links.join(side("a"), "a").join(side("b"), "b")
     tied = connected_components(named, [], "a_key", "b_key").select(F.col("node.fp").alias("fp"), F.col("root.first").alias("named"), F.lit(True).alias("tied"))
     named = F.when(F.col("tied"), F.col("named")).otherwise(F.col("first")).alias("component_id")
     # written, so that joins with it deal both sides anew and Spark can split those of a fingerprint with many copies
