@@ -133,12 +133,13 @@ def bridge_gaps(candidates: DataFrame) -> DataFrame:
 
 
 def snap_points(points: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """(page, seq, x, y, nx, ny): points off the lattice, in order of ``seq``, go to the first leader within
+    """(page, seq, x, y, nx, ny): points off the lattice, in order of ``seq`` (then of x and y), go to the first leader within
     ``tolerance``; a page at a time, as the rule depends on order."""
 
     def lead(pdf):
-        pdf = pdf.sort_values("seq")
+        pdf = pdf.sort_values(["seq", "x", "y"])
         leaders: dict[tuple[int, int], list[tuple[float, float]]] = {}
+        order: dict[tuple[float, float], int] = {}
         placed = []
         for x, y in zip(pdf["x"], pdf["y"]):
             cx, cy = int(x // tolerance), int(y // tolerance)
@@ -150,5 +151,4 @@ def snap_points(points: DataFrame, tolerance: float = 4.0) -> DataFrame:
             placed.append(here)
         return pdf.assign(nx=[p[0] for p in placed], ny=[p[1] for p in placed])[["source_id", "page", "seq", "x", "y", "nx", "ny"]]
 
-    order: dict[tuple[float, float], int] = {}
     return points.groupBy(*PAGE).applyInPandas(lead, "source_id string, page long, seq long, x double, y double, nx double, ny double")

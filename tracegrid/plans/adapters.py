@@ -37,6 +37,14 @@ class Adapters:
         )
         return df.selectExpr(f"'{SOURCE}' AS source_id", "page", "o", "CASE WHEN o = 'H' THEN y ELSE x END AS axis", "CASE WHEN o = 'H' THEN x ELSE y END AS lo", "CASE WHEN o = 'H' THEN x ELSE y END + len AS hi").distinct()
 
+    def jittered_points(self, offsets) -> DataFrame:
+        """(source_id, page, seq, x, y) from lineitem: lattice points moved by ``offsets``."""
+        df = self.table("lineitem")
+        return df.select(
+            F.lit(SOURCE).alias("source_id"), F.expr("l_orderkey div 75").alias("page"), F.expr("l_orderkey * 8 + l_linenumber").alias("seq"),
+            (F.expr("10 * ((l_partkey * 7 + l_orderkey) % 12)") + pick(list(offsets), F.col("l_suppkey") % len(offsets))).alias("x"), (F.expr("10 * ((l_suppkey * 13 + l_orderkey * 3) % 9)") + pick(list(offsets), F.col("l_partkey") % len(offsets))).alias("y"),
+        )
+
     def endpoint_kinds(self, endpoints: DataFrame) -> DataFrame:
         h = F.expr("((x + y) div 10) % 7")
         return endpoints.withColumn("kind", F.when(h == 0, "ground").when(h <= 3, "component_terminal").otherwise("geometric"))

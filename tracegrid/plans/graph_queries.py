@@ -121,7 +121,9 @@ def unresolved_distribution_nodes(spark, sf_dir):
     return graph.walk_stops(d.edges, d.nodes, d.endpoints).filter("reason = 'distribution'").select("page", "node_id").distinct()
 
 
-@query()
+@query("""SELECT page, reason, count(*) AS n FROM (
+         SELECT w.page, CASE WHEN p.id IS NOT NULL THEN 'terminal' WHEN n.degree = 2 OR n.type IN ('splice', 'junction') THEN 'distribution' WHEN n.degree = 1 THEN 'dead_end' ELSE 'crossing' END AS reason
+         FROM (SELECT page, start, arg_max(node, len(path)) AS node FROM walk GROUP BY ALL) w JOIN nodes n ON n.page = w.page AND n.id = w.node LEFT JOIN eps p ON p.page = w.page AND p.node_id = w.node) GROUP BY ALL""")
 def walk_stop_reasons(spark, sf_dir):
     d = Drawn(spark, sf_dir)
     return graph.walk_stops(d.edges, d.nodes, d.endpoints).groupBy("page", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -152,22 +154,51 @@ def wire_dedupe(spark, sf_dir):
     return both.select("page", stable_id("wire", F.concat_ws(":", "source_id", "page", "start_endpoint", "end_endpoint")).alias("id"), "producer", "start_endpoint", "end_endpoint", "wire_key")
 
 
-@query("""SELECT a.page, a.id AS a, b.id AS b, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) AS gap2 FROM t a JOIN t b ON a.page = b.page AND a.id < b.id
+_GAPS = """SELECT a.page, a.id AS a, b.id AS b, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) AS gap2 FROM t a JOIN t b ON a.page = b.page AND a.id < b.id
        WHERE pow(b.x - a.x, 2) + pow(b.y - a.y, 2) BETWEEN 2.25 AND 324 AND (
          (abs(b.y - a.y) <= 1.5 AND abs(b.x - a.x) > 1.5 AND a.dx * (b.x - a.x) > 0 AND b.dx * (a.x - b.x) > 0 AND abs(a.dy) <= 1.5 AND abs(b.dy) <= 1.5) OR
-         (abs(b.x - a.x) <= 1.5 AND abs(b.y - a.y) > 1.5 AND a.dy * (b.y - a.y) > 0 AND b.dy * (a.y - b.y) > 0 AND abs(a.dx) <= 1.5 AND abs(b.dx) <= 1.5))""",
-       t="SELECT n.page, n.id, n.x, n.y, n.x - m.x AS dx, n.y - m.y AS dy FROM nodes n JOIN inc i ON i.page = n.page AND i.n = n.id JOIN nodes m ON m.page = n.page AND m.id = i.o WHERE n.type = 'conductor_end' AND n.degree = 1")
+         (abs(b.x - a.x) <= 1.5 AND abs(b.y - a.y) > 1.5 AND a.dy * (b.y - a.y) > 0 AND b.dy * (a.y - b.y) > 0 AND abs(a.dx) <= 1.5 AND abs(b.dx) <= 1.5))"""
+_FACING = "SELECT n.page, n.id, n.x, n.y, n.x - m.x AS dx, n.y - m.y AS dy FROM nodes n JOIN inc i ON i.page = n.page AND i.n = n.id JOIN nodes m ON m.page = n.page AND m.id = i.o WHERE n.type = 'conductor_end' AND n.degree = 1"
+
+
+@query(_GAPS, t=_FACING)
 def gap_candidates(spark, sf_dir):
     d = Drawn(spark, sf_dir)
     return topology.gap_candidates(d.nodes, d.edges).withColumn("gap2", F.col("gap2").cast("double")).drop("source_id")
 
 
-@query()
+#: One end after the other, in order of ids, with the ends that are taken so far.
+_TURNS = {
+    "t": _FACING,
+    "turn": f"SELECT page, a, row_number() OVER (PARTITION BY page ORDER BY a) AS k, bs FROM (SELECT page, a, list(b ORDER BY gap2, b) AS bs FROM ({_GAPS}) GROUP BY page, a)",
+    "taken": """SELECT DISTINCT page, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS a, NULL::VARCHAR AS b FROM turn
+        UNION ALL SELECT page, k, CASE WHEN b IS NULL THEN used ELSE list_concat(used, [a, b]) END, a, b FROM (
+          SELECT s.page, q.k, s.used, q.a, CASE WHEN NOT list_contains(s.used, q.a) THEN list_filter(q.bs, lambda x: NOT list_contains(s.used, x))[1] END AS b FROM taken s JOIN turn q ON q.page = s.page AND q.k = s.k + 1)""",
+}
+
+
+@query("SELECT page, a, b FROM taken WHERE b IS NOT NULL", **_TURNS)
 def gap_bridges(spark, sf_dir):
     d = Drawn(spark, sf_dir)
     return topology.bridge_gaps(topology.gap_candidates(d.nodes, d.edges)).drop("source_id")
 
 
+#: Offsets of drawn points from the lattice, on both sides of the tolerances .75, 1.5 and 4.
+_JITTER = (0.0, 0.5, -0.75, 1.0, -1.5, 1.75, -3.75, 4.0, 4.25)
+_JX, _JY = ", ".join(map(str, _JITTER)), "l_partkey % 9 + 1"
+
+
+@query("""SELECT p.page, p.seq, p.x, p.y, s.at.x AS nx, s.at.y AS ny FROM snapped s JOIN jittered p ON p.page = s.page AND p.k = s.k WHERE s.k > 0""",
+       jittered=f"""SELECT *, row_number() OVER (PARTITION BY page ORDER BY seq, x, y) AS k FROM (SELECT l_orderkey // 75 AS page, l_orderkey * 8 + l_linenumber AS seq,
+         10 * ((l_partkey * 7 + l_orderkey) % 12) + ([{_JX}])[l_suppkey % 9 + 1]::DOUBLE AS x, 10 * ((l_suppkey * 13 + l_orderkey * 3) % 9) + ([{_JX}])[{_JY}]::DOUBLE AS y FROM lineitem)""",
+       snapped="""SELECT DISTINCT page, 0::BIGINT AS k, []::STRUCT(x DOUBLE, y DOUBLE)[] AS leaders, NULL::STRUCT(x DOUBLE, y DOUBLE) AS at FROM jittered
+         UNION ALL SELECT page, k, CASE WHEN near IS NULL THEN list_append(leaders, own) ELSE leaders END, coalesce(near, own) FROM (
+           SELECT s.page, p.k, s.leaders, struct_pack(x := p.x, y := p.y) AS own, list_filter(s.leaders, lambda l: (l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) <= 16)[1] AS near FROM snapped s JOIN jittered p ON p.page = s.page AND p.k = s.k + 1)""")
+def snapped_points(spark, sf_dir):
+    """Points off the lattice, by less and by more than each tolerance, go to the first point near them."""
+    return topology.snap_points(Adapters(spark, sf_dir).jittered_points(_JITTER)).drop("source_id")
+
+
 _SPLICES = {
     "sp": "SELECT page, id, x, y FROM nodes WHERE type = 'splice'",
     "sl": "SELECT a.page, a.id AS a, b.id AS b FROM sp a JOIN sp b ON a.page = b.page AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 144",
