@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracegrid.functions.geometry import box_of
 from tracegrid.operators.graph import page_components
+from tracegrid.operators.objects import _named
+from tracegrid.operators.spatial import range_join
 from tracegrid.operators.topology import PAGE
 
 
@@ -77,9 +80,137 @@ def ground_bar_sequences(bars: DataFrame, shrink: float = 0.85, gap: tuple[int,
 
 
 def text_region_confidence(width: Column, height: Column) -> Column:
-    """Confidence of a text box by its proportions."""
-    aspect = width / height
-    return F.when(aspect >= 2.0, 0.85).when(aspect >= 1.0, 0.70).otherwise(0.55)
+    """Confidence of a text box by its proportions: labels are wide, but not as thin as a line."""
+    aspect = width / F.greatest(height, F.lit(1))
+    return F.when(aspect.between(2.0, 30.0), 0.85).when(aspect.between(1.25, 40.0), 0.70).otherwise(0.55)
+
+
+def small_components(ink: DataFrame, area: tuple[int, int] = (2, 500), side: int = 40) -> DataFrame:
+    """(page, id, bx, by, bw, bh): 8-connected components of ink as small as a letter."""
+    found = open_segments(ink, 1).withColumns({"bw": F.col("x1") - F.col("x0") + 1, "bh": F.col("y1") - F.col("y0") + 1})
+    return found.filter(F.col("area").between(*area) & (F.col("bw") <= side) & (F.col("bh") <= side)).select(*PAGE, F.col("root").alias("id"), F.col("x0").alias("bx"), F.col("y0").alias("by"), "bw", "bh")
+
+
+def text_groups(boxes: DataFrame, gap: int = 12, level: int = 6, most_height: int = 40, least: tuple[int, int] = (8, 3)) -> DataFrame:
+    """(page, n, bx, by, bw, bh, members, confidence, excluded): boxes (page, id, bx, by, bw, bh) joined up to lines of text.
+
+    From top to bottom and left to right (then by size and id) a box joins the first group at its height and within
+    ``gap``, if the two stay at most ``most_height`` high; else it opens a group. ``n`` numbers the groups of a page in the
+    order in which they opened; groups below the ``least`` width and height go. Later boxes depend on what earlier ones
+    did, so a page is one task; its work is the number of boxes times the number of groups, as vectors.
+    """
+
+    def join_up(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["by", "bx", "bw", "bh", "id"])
+        held, n = np.zeros((6, len(pdf)), dtype=np.int64), 0  # left, top, right, bottom, middle, members
+        for x, y, w, h in zip(*(pdf[c].tolist() for c in ("bx", "by", "bw", "bh"))):
+            left, top, right, bottom, middle, _ = held[:, :n]
+            apart = np.where(x >= right, x - right, left - (x + w))
+            fits = (np.abs(middle - (y + h // 2)) <= level) & (apart <= gap) & (np.maximum(bottom, y + h) - np.minimum(top, y) <= most_height)
+            at = int(fits.argmax()) if fits.any() else n
+            box = held[:, at]
+            box[:4] = (x, y, x + w, y + h) if at == n else (min(box[0], x), min(box[1], y), max(box[2], x + w), max(box[3], y + h))
+            box[4] = box[1] + (box[3] - box[1]) // 2
+            box[5] += 1
+            n += at == n
+        out = pd.DataFrame({"bx": held[0, :n], "by": held[1, :n], "bw": held[2, :n] - held[0, :n], "bh": held[3, :n] - held[1, :n], "members": held[5, :n]})
+        out = out[(out["bw"] >= least[0]) & (out["bh"] >= least[1])].reset_index(drop=True)
+        return out.assign(source_id=pdf["source_id"].iloc[0], page=pdf["page"].iloc[0], n=np.arange(len(out)))[["source_id", "page", "n", "bx", "by", "bw", "bh", "members"]]
+
+    found = boxes.select(*PAGE, "id", *(F.col(c).cast("long") for c in ("bx", "by", "bw", "bh"))).groupBy(*PAGE).applyInPandas(join_up, "source_id string, page long, n long, bx long, by long, bw long, bh long, members long")
+    scored = found.withColumn("confidence", text_region_confidence(F.col("bw"), F.col("bh")))
+    return scored.withColumn("excluded", F.col("confidence") >= 0.70)
+
+
+def text_regions(ink: DataFrame) -> DataFrame:
+    """Text regions of a page's ink; the excluded ones are boxes for ``exclude`` before conductors are looked for."""
+    return text_groups(small_components(ink))
+
+
+def suppress_overlaps(regions: DataFrame, order: str = "id", share: float = 0.80) -> DataFrame:
+    """Regions (page, id, bx, by, bw, bh) less those of which an earlier one that stays covers ``share`` of the smaller.
+
+    Empty regions go. Whether a region stays depends on which earlier ones did, so only the pairs that overlap that much
+    (found on the grid) go to a page's task, and regions without one never do.
+    """
+    import pandas as pd
+
+    real = regions.filter("bw > 0 AND bh > 0")
+    mine = real.select(*PAGE, F.col("id").alias("late"), F.col(order).alias("late_key"), *(F.col(c).cast("double").alias(c) for c in ("bx", "by", "bw", "bh")))
+    met = range_join(mine, _named(real.withColumn("early_key", F.col(order)), "early_key"), (F.col("bx"), F.col("by"), F.col("bw"), F.col("bh")), box_of("o_"), 0.0, PAGE, "late", "obj", cell=160.0)
+    cover = lambda lo, size: F.greatest(F.least(F.col(lo) + F.col(size), F.col(f"o_{lo}") + F.col(f"o_{size}")) - F.greatest(F.col(lo), F.col(f"o_{lo}")), F.lit(0))
+    heavy = cover("bx", "bw") * cover("by", "bh") / F.least(F.col("bw") * F.col("bh"), F.col("o_bw") * F.col("o_bh")) > share
+    pairs = met.filter(heavy & ((F.col("early_key") < F.col("late_key")) | ((F.col("early_key") == F.col("late_key")) & (F.col("obj") < F.col("late"))))).select(*PAGE, F.col("obj").alias("early"), "late", "late_key")
+
+    def walk(pdf):
+        gone: set = set()
+        for late, earlier in pdf.sort_values(["late_key", "late"]).groupby("late", sort=False)["early"]:
+            if any(e not in gone for e in earlier):
+                gone.add(late)
+        return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "page": pdf["page"].iloc[0], "id": sorted(gone)})
+
+    gone = pairs.groupBy(*PAGE).applyInPandas(walk, "source_id string, page long, id string")
+    return real.join(gone, [*PAGE, "id"], "left_anti")
+
+
+def ink_in_boxes(boxes: DataFrame, ink: DataFrame, *ids: str) -> DataFrame:
+    """(page, ``ids``, dark): ink cells in boxes (page, ``ids``, x0, y0, x1, y1; borders belong to them).
+
+    A box goes to its rows and meets the runs there, so a wide box costs no more than a narrow one.
+    """
+    rows = boxes.filter("x0 <= x1 AND y0 <= y1").withColumn("y", F.explode(F.sequence("y0", "y1"))).select(*PAGE, *ids, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
+    met = rows.join(runs(ink), [*PAGE, "y"]).filter("x0 <= b1 AND x1 >= b0")
+    return met.groupBy(*PAGE, *ids).agg(F.sum(F.least("x1", "b1") - F.greatest("x0", "b0") + 1).alias("dark"))
+
+
+def directed_ink(ends: DataFrame, ink: DataFrame, width: int, height: int) -> DataFrame:
+    """(page, id, which, dark, cells): ink around ends (page, id, x, y, dx, dy) of lines on pages of ``width`` by ``height``.
+
+    ``which`` is local (10 cells all round), forward (4 to 14 cells on in the direction dx, dy) and transverse (a strip
+    across it). The direction is the axis of the larger move; an end that moved half a cell or less has no direction and
+    only its local box. Boxes are cut at the page's borders and ``cells`` counts what is left.
+    """
+    flat = F.abs("dx") >= F.abs("dy")
+    aimed = F.when(flat, F.abs("dx") > 0.5).otherwise(F.abs("dy") > 0.5)
+    on = F.when(flat, F.signum("dx")).otherwise(F.signum("dy")).cast("long")
+    near, far = F.least(on * 4, on * 14), F.greatest(on * 4, on * 14)
+    lit = F.lit
+
+    def box(which, x0, y0, x1, y1):
+        return F.struct(lit(which).alias("which"), (F.col("x") + x0).alias("x0"), (F.col("y") + y0).alias("y0"), (F.col("x") + x1).alias("x1"), (F.col("y") + y1).alias("y1"))
+
+    local = box("local", lit(-10), lit(-10), lit(10), lit(10))
+    forward = F.when(flat, box("forward", near, lit(-4), far, lit(4))).otherwise(box("forward", lit(-4), near, lit(4), far))
+    across = F.when(flat, box("transverse", lit(-7), lit(-3), lit(7), lit(3))).otherwise(box("transverse", lit(-3), lit(-7), lit(3), lit(7)))
+    boxes = ends.withColumn("b", F.explode(F.when(aimed, F.array(local, forward, across)).otherwise(F.array(local)))).select(
+        *PAGE, "id", "b.which", F.greatest("b.x0", lit(0)).cast("long").alias("x0"), F.greatest("b.y0", lit(0)).cast("long").alias("y0"), F.least("b.x1", lit(width - 1)).cast("long").alias("x1"), F.least("b.y1", lit(height - 1)).cast("long").alias("y1"),
+    )
+    cells = F.greatest(F.col("x1") - F.col("x0") + 1, lit(0)) * F.greatest(F.col("y1") - F.col("y0") + 1, lit(0))
+    dark = ink_in_boxes(boxes, ink, "id", "which")
+    return boxes.select(*PAGE, "id", "which", cells.alias("cells")).join(dark, [*PAGE, "id", "which"], "left").withColumn("dark", F.coalesce("dark", lit(0)).cast("long"))
+
+
+def supported_lines(lines: DataFrame, ink: DataFrame, width: int, height: int, min_length: float = 12.0, half_width: int = 2, density: float = 0.08) -> DataFrame:
+    """(page, seg, reason, measurement): whether the ink under level and upright lines (page, seg, x0, y0, x1, y1 in cells,
+    whole numbers) carries them.
+
+    A line below ``min_length`` is rejected with its length, one with too little ink in its corridor with that share; ones
+    that stay have no reason and the share.
+    """
+    flat, length = F.col("y0") == F.col("y1"), ((F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0"))).cast("double")
+    side = F.lit(half_width)
+    wide, high = F.when(flat, F.lit(0)).otherwise(side), F.when(flat, side).otherwise(F.lit(0))
+    boxes = lines.select(*PAGE, "seg", F.greatest(F.col("x0") - wide, F.lit(0)).alias("x0"), F.greatest(F.col("y0") - high, F.lit(0)).alias("y0"), F.least(F.col("x1") + wide, F.lit(width - 1)).alias("x1"), F.least(F.col("y1") + high, F.lit(height - 1)).alias("y1"), length.alias("length"))
+    cells = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    long = boxes.filter(F.col("length") >= min_length)
+    share = F.when((F.col("x0") > F.col("x1")) | (F.col("y0") > F.col("y1")), 0.0).otherwise(F.coalesce("dark", F.lit(0)) / cells)
+    met = boxes.join(ink_in_boxes(long, ink, "seg"), [*PAGE, "seg"], "left").withColumn("share", share)
+    short = F.col("length") < min_length
+    reason = F.when(short, "below_minimum_continuous_length").when(F.col("share") < density, "insufficient_supporting_ink")
+    return met.select(*PAGE, "seg", reason.alias("reason"), F.when(short, F.col("length")).otherwise(F.col("share")).alias("measurement"))
 
 
 def blob_kind(width: Column, height: Column, area: Column, circularity: Column) -> Column:

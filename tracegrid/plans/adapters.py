@@ -69,6 +69,14 @@ class Adapters:
             pick([0.55, 0.70, 0.85], F.col("o_orderkey") % 3).alias("confidence"),
         )
 
+    def glyphs(self) -> DataFrame:
+        """(source_id, page, id, bx, by, bw, bh) from lineitem: boxes of letters in rows."""
+        return self.table("lineitem").select(
+            F.lit(SOURCE).alias("source_id"), F.expr("l_orderkey div 75").alias("page"), F.concat_ws("-", F.lit("glyph"), "l_orderkey", "l_linenumber").alias("id"),
+            F.expr("(l_partkey * 7 + l_orderkey * 5) % 400").alias("bx"), F.expr("12 * ((l_suppkey * 13 + l_orderkey) % 25) + l_linenumber % 5").alias("by"),
+            F.expr("3 + l_partkey % 12").alias("bw"), F.expr("4 + l_suppkey % 9").alias("bh"),
+        )
+
     def recognition(self) -> DataFrame:
         """(text_region_id, raw_text, confidence, provider) from events."""
         conf = F.when(F.col("event_type").isin("click", "signup"), "high").when(F.col("event_type") == "view", "medium").when(F.col("event_type") == "purchase", "low").otherwise("unresolved")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions.shared import cut
 from tracegrid.operators import checks as C
-from tracegrid.operators import graph, nets
+from tracegrid.operators import graph, nets, topology
 from tracegrid.operators import raster as R
 from tracegrid.operators.topology import PAGE
 from tracegrid.plans.adapters import SOURCE, Adapters
@@ -371,6 +371,37 @@ def endpoint_ink_evidence(spark, sf_dir):
     return R.ink_near(d.endpoints, d.views.ink(), 1).drop("source_id")
 
 
+_AIMED = {
+    "aim": "SELECT e.page, e.id, e.x // 10 AS x, e.y // 10 AS y, CASE WHEN d.from_node = e.node_id THEN e.x - d.x2 ELSE e.x - d.x1 END AS dx, CASE WHEN d.from_node = e.node_id THEN e.y - d.y2 ELSE e.y - d.y1 END AS dy FROM eps e JOIN edges d ON d.page = e.page AND e.node_id IN (d.from_node, d.to_node)",
+    "win": """SELECT page, id, which, greatest(x0, 0) AS x0, greatest(y0, 0) AS y0, least(x1, 79) AS x1, least(y1, 59) AS y1 FROM (
+        SELECT page, id, 'local' AS which, x - 10 AS x0, y - 10 AS y0, x + 10 AS x1, y + 10 AS y1 FROM aim
+        UNION ALL SELECT page, id, 'forward', CASE WHEN dx > 0 THEN x + 4 WHEN dx < 0 THEN x - 14 ELSE x - 4 END, CASE WHEN dy > 0 THEN y + 4 WHEN dy < 0 THEN y - 14 ELSE y - 4 END, CASE WHEN dx > 0 THEN x + 14 WHEN dx < 0 THEN x - 4 ELSE x + 4 END, CASE WHEN dy > 0 THEN y + 14 WHEN dy < 0 THEN y - 4 ELSE y + 4 END FROM aim
+        UNION ALL SELECT page, id, 'transverse', CASE WHEN dx <> 0 THEN x - 7 ELSE x - 3 END, CASE WHEN dx <> 0 THEN y - 3 ELSE y - 7 END, CASE WHEN dx <> 0 THEN x + 7 ELSE x + 3 END, CASE WHEN dx <> 0 THEN y + 3 ELSE y + 7 END FROM aim)""",
+}
+
+
+@query("SELECT w.page, w.id, which, count(i.x) AS dark, greatest(x1 - x0 + 1, 0) * greatest(y1 - y0 + 1, 0) AS cells FROM win w LEFT JOIN ink i ON i.page = w.page AND i.x BETWEEN x0 AND x1 AND i.y BETWEEN y0 AND y1 GROUP BY w.page, w.id, which, x0, y0, x1, y1", **_AIMED)
+def endpoint_directed_ink(spark, sf_dir):
+    """Each end lies on one edge, which is level or upright."""
+    d = Drawn(spark, sf_dir)
+    ends = d.endpoints.select(*PAGE, "id", "node_id", F.col("x").alias("ex"), F.col("y").alias("ey"))
+    other = lambda a, b, x, y: d.edges.select(*PAGE, F.col(a).alias("node_id"), F.col(x).alias("ox"), F.col(y).alias("oy"))
+    both = other("from_node", "to_node", "x2", "y2").unionByName(other("to_node", "from_node", "x1", "y1"))
+    aimed = ends.join(both, [*PAGE, "node_id"]).select(*PAGE, "id", F.expr("ex div 10").alias("x"), F.expr("ey div 10").alias("y"), (F.col("ex") - F.col("ox")).alias("dx"), (F.col("ey") - F.col("oy")).alias("dy"))
+    return R.directed_ink(aimed, d.views.ink(), 80, 60).drop("source_id")
+
+
+@query("""SELECT page, seg, CASE WHEN n < 3 THEN 'below_minimum_continuous_length' WHEN share < 0.08 THEN 'insufficient_supporting_ink' END AS reason, CASE WHEN n < 3 THEN n ELSE share END AS measurement FROM (
+          SELECT c.page, seg, n, CASE WHEN c.x0 > c.x1 OR c.y0 > c.y1 THEN 0 ELSE count(i.x) / ((c.x1 - c.x0 + 1) * (c.y1 - c.y0 + 1)) END AS share FROM cor c LEFT JOIN (SELECT * FROM ink WHERE (x * 7 + y * 3 + page) % 5 = 0) i ON i.page = c.page AND i.x BETWEEN c.x0 AND c.x1 AND i.y BETWEEN c.y0 AND c.y1 GROUP BY c.page, seg, n, c.x0, c.y0, c.x1, c.y1)""", cor="""SELECT page, seg, ((hi - lo) // 10)::DOUBLE AS n, CASE WHEN o = 'H' THEN lo // 10 ELSE greatest(axis // 10 - 2, 0) END AS x0, CASE WHEN o = 'H' THEN greatest(axis // 10 - 2, 0) ELSE lo // 10 END AS y0,
+          CASE WHEN o = 'H' THEN least(hi // 10, 79) ELSE least(axis // 10 + 2, 79) END AS x1, CASE WHEN o = 'H' THEN least(axis // 10 + 2, 59) ELSE least(hi // 10, 59) END AS y1 FROM seg""")
+def conductor_ink_filter(spark, sf_dir):
+    """A cell of the page stands for a pixel, and three cells for the least length."""
+    v = Adapters(spark, sf_dir)
+    flat, lo, hi, axis = F.col("o") == "H", F.expr("lo div 10"), F.expr("hi div 10"), F.expr("axis div 10")
+    lines = topology.normalize_conductors(v.segments()).select(*PAGE, topology.segment_id().alias("seg"), F.when(flat, lo).otherwise(axis).alias("x0"), F.when(flat, axis).otherwise(lo).alias("y0"), F.when(flat, hi).otherwise(axis).alias("x1"), F.when(flat, axis).otherwise(hi).alias("y1"))
+    return R.supported_lines(lines, v.ink().filter("(x * 7 + y * 3 + page) % 5 = 0"), 80, 60, min_length=3.0).select("page", "seg", "reason", "measurement")
+
+
 _BARS = {"bars": "SELECT DISTINCT o_orderkey // 75 AS page, o_custkey % 4 AS col, o_orderkey % 75 * 3 AS y, 5 + o_custkey * 11 % 30 AS width FROM orders"}
 
 
@@ -381,9 +412,48 @@ def ground_bar_sequences(spark, sf_dir):
     return R.ground_bar_sequences(bars).drop("source_id")
 
 
-@query("SELECT id, CASE WHEN bw / bh >= 2 THEN 0.85 WHEN bw / bh >= 1 THEN 0.7 ELSE 0.55 END::DOUBLE AS confidence FROM text_regions")
+_ASPECT = "CASE WHEN bw / bh BETWEEN 2 AND 30 THEN 0.85 WHEN bw / bh BETWEEN 1.25 AND 40 THEN 0.7 ELSE 0.55 END::DOUBLE"
+
+
+@query(f"SELECT page, id, {_ASPECT} AS confidence FROM glyphs")
 def text_region_score(spark, sf_dir):
-    return Adapters(spark, sf_dir).text_regions().select("id", R.text_region_confidence(F.col("bw"), F.col("bh")).alias("confidence"))
+    return Adapters(spark, sf_dir).glyphs().select("page", "id", R.text_region_confidence(F.col("bw"), F.col("bh")).alias("confidence"))
+
+
+_GROUPS = {
+    "gl": "SELECT page, id, bx, g0.by AS top, bw, bh, row_number() OVER (PARTITION BY page ORDER BY g0.by, bx, bw, bh, id) AS k FROM glyphs g0",
+    "gf": """SELECT page, 0::BIGINT AS k, []::STRUCT(l BIGINT, t BIGINT, r BIGINT, b BIGINT, m BIGINT)[] AS gs FROM (SELECT DISTINCT page FROM glyphs)
+        UNION ALL SELECT page, k, CASE WHEN i IS NULL THEN list_append(gs, {'l': bx, 't': top, 'r': bx + bw, 'b': top + bh, 'm': 1::BIGINT})
+          ELSE list_concat(gs[:i - 1], [{'l': least(gs[i].l, bx), 't': least(gs[i].t, top), 'r': greatest(gs[i].r, bx + bw), 'b': greatest(gs[i].b, top + bh), 'm': gs[i].m + 1}], gs[i + 1:]) END
+        FROM (SELECT f.page, g.k, f.gs, bx, top, bw, bh, nullif(list_position(list_transform(f.gs, lambda o: abs(o.t + (o.b - o.t) // 2 - (g.top + g.bh // 2)) <= 6 AND CASE WHEN g.bx >= o.r THEN g.bx - o.r ELSE o.l - (g.bx + g.bw) END <= 12
+          AND greatest(o.b, g.top + g.bh) - least(o.t, g.top) <= 40), true), 0) AS i FROM gf f JOIN gl g ON g.page = f.page AND g.k = f.k + 1)""",
+    "go": "SELECT page, pos, g.l AS bx, g.t AS by, g.r - g.l AS bw, g.b - g.t AS bh, g.m AS members FROM (SELECT page, unnest(gs) AS g, generate_subscripts(gs, 1) AS pos FROM gf WHERE (page, k) IN (SELECT (page, max(k)) FROM gl GROUP BY page))",
+}
+
+
+@query(f"SELECT page, row_number() OVER (PARTITION BY page ORDER BY pos) - 1 AS n, bx, go.by, bw, bh, members, {_ASPECT} AS confidence, {_ASPECT} >= 0.7 AS excluded FROM go WHERE bw >= 8 AND bh >= 3", **_GROUPS)
+def text_region_groups(spark, sf_dir):
+    return R.text_groups(Adapters(spark, sf_dir).glyphs()).drop("source_id")
+
+
+@query("SELECT page, root AS id, x0 AS bx, y0 AS by, x1 - x0 + 1 AS bw, y1 - y0 + 1 AS bh FROM (SELECT r.page, c.root, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) AS y1, sum(x1 - x0 + 1) AS area FROM rl r JOIN rlr c ON c.page = r.page AND c.id = r.y || ':' || r.x0 GROUP BY ALL) WHERE area BETWEEN 2 AND 500 AND x1 - x0 < 40 AND y1 - y0 < 40", **{**_RLE, "rl": _RLE["rl"].replace("FROM ink)", "FROM ink WHERE (x * 7 + y * 3 + page) % 5 < 2)").replace(">= 3", ">= 1")})
+def text_components(spark, sf_dir):
+    ink = cut(Adapters(spark, sf_dir).ink().filter("(x * 7 + y * 3 + page) % 5 < 2"), "ink")
+    return R.small_components(ink).drop("source_id")
+
+
+_HEAVY = "greatest(least(a.bx + a.bw, b.bx + b.bw) - greatest(a.bx, b.bx), 0) * greatest(least(a.top + a.bh, b.top + b.bh) - greatest(a.top, b.top), 0) > 0.8 * least(a.bw * a.bh, b.bw * b.bh)"
+
+
+@query("SELECT page, unnest(kept) AS id FROM sup WHERE (page, k) IN (SELECT (page, max(k)) FROM ord GROUP BY page)", **{
+    "dn": "SELECT page, id, (bx + 5) // 10 AS bx, (g.by + 5) // 5 AS top, bw, bh FROM components g",
+    "ord": "SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS k FROM dn",
+    "hv": f"SELECT a.page, a.id AS early, b.id AS late FROM dn a JOIN dn b ON a.page = b.page AND a.id < b.id AND {_HEAVY}",
+    "hl": "SELECT o.page, o.k, any_value(o.id) AS id, list(early) FILTER (early IS NOT NULL) AS early FROM ord o LEFT JOIN hv ON hv.page = o.page AND hv.late = o.id GROUP BY ALL",
+    "sup": "SELECT page, 0::BIGINT AS k, []::VARCHAR[] AS kept FROM (SELECT DISTINCT page FROM dn) UNION ALL SELECT s.page, h.k, CASE WHEN list_has_any(kept, coalesce(h.early, [])) THEN kept ELSE list_append(kept, h.id) END FROM sup s JOIN hl h ON h.page = s.page AND h.k = s.k + 1",
+})
+def overlap_suppression(spark, sf_dir):
+    return R.suppress_overlaps(Adapters(spark, sf_dir).components().withColumns({"bx": F.expr("(bx + 5) div 10"), "by": F.expr("(by + 5) div 5")})).select("page", "id")
 
 
 @query("SELECT region, count(*) AS notches FROM (SELECT l_orderkey AS region, CASE WHEN l_linenumber % 2 = 0 THEN 'left' ELSE 'right' END AS side, l_quantity / 10 AS depth FROM lineitem) WHERE depth >= 2 GROUP BY 1 HAVING count(*) >= 2 AND bool_or(side = 'left') AND bool_or(side = 'right')")

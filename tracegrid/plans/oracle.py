@@ -51,6 +51,7 @@ CTES = {
     "components": f"""SELECT p_partkey // 10 AS page, 'component-' || p_partkey || '-' || k AS id, ({_LIST(KINDS)})[p_size % 5 + 1] AS kind, 10 * ((p_partkey * 37 + k * 23) % 80) - 5 AS bx, 10 * ((p_partkey * 11 + k * 29) % 60) - 5 AS by,
         (10 + 10 * (p_size % 3))::BIGINT AS bw, (10 + 10 * ((p_size // 3) % 3))::BIGINT AS bh, ({_LIST(CONFIDENCE)})[p_size % 4 + 1] AS confidence, p_name AS label FROM part, (SELECT unnest([0, 1, 2, 3]) AS k)""",
     "text_regions": "SELECT o_orderkey // 75 AS page, 'text-region-' || o_orderkey AS id, 10 * ((o_custkey * 7 + o_orderkey) % 80) AS bx, 10 * ((o_orderkey * 17) % 60) AS by, 20 + 10 * (o_orderkey % 3) AS bw, 10 AS bh, ([0.55, 0.70, 0.85])[o_orderkey % 3 + 1]::DOUBLE AS confidence FROM orders",
+    "glyphs": "SELECT l_orderkey // 75 AS page, 'glyph-' || l_orderkey || '-' || l_linenumber AS id, (l_partkey * 7 + l_orderkey * 5) % 400 AS bx, 12 * ((l_suppkey * 13 + l_orderkey) % 25) + l_linenumber % 5 AS by, 3 + l_partkey % 12 AS bw, 4 + l_suppkey % 9 AS bh FROM lineitem",
     "recognition": f"""SELECT 'text-region-' || event_id AS text_region_id, ({_LIST(TEXTS)})[event_id % 16 + 1] AS raw_text, CASE WHEN event_type IN ('click', 'signup') THEN 'high' WHEN event_type = 'view' THEN 'medium' WHEN event_type = 'purchase' THEN 'low' ELSE 'unresolved' END AS confidence,
         CASE WHEN user_id % 2 = 0 THEN 'json-observation' ELSE '' END AS provider FROM events""",
     "gated": "SELECT r.text_region_id, raw_text, r.confidence, CASE WHEN provider = '' THEN 'recognition' ELSE provider END AS provider FROM recognition r WHERE raw_text <> '' AND r.confidence <> 'unresolved' AND text_region_id IN (SELECT id FROM text_regions)",
