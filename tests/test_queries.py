@@ -3,7 +3,7 @@ import pytest
 import __spark_entry__ as driver
 from tracegrid.plans import catalog
 
-QUICK = ["conductor_normalize", "segment_intersections", "topology_nodes", "topology_edges", "page_components", "electrical_nets", "distribution_wires", "wires_pass1", "wires_pass2", "gap_candidates", "gap_bridges", "walk_stop_reasons", "snapped_points", "coverage_nodes", "diagram_splices", "sorted_export", "splice_clusters", "stable_ids", "text_normalize", "text_classify", "provider_gate", "registry_lookup", "semantic_associations", "object_semantics", "role_observation_resolve", "endpoint_semantics", "boundary_resolution", "symbol_family", "electrical_components", "circuit_role_evidence", "wire_semantics", "geometry_ownership", "rejected_geometry_assoc", "terminal_location", "terminal_recognition", "connector_pins", "pin_endpoint_assoc", "ground_truth_match", "furniture_clusters", "wire_validation", "net_validation", "coverage_conductors", "extraction_audit", "model_diff", "svg_fragments", "svg_validate", "recognition_json_scan", "recognition_tsv_scan", "scope_regions", "rle_open_segments", "scope_mask", "ground_bar_sequences", "blob_classify", "text_region_score", "text_region_groups", "text_components", "overlap_suppression", "endpoint_directed_ink", "conductor_ink_filter"]
+QUICK = ["conductor_normalize", "segment_intersections", "topology_nodes", "topology_edges", "page_components", "electrical_nets", "distribution_wires", "wires_pass1", "wires_pass2", "gap_candidates", "gap_bridges", "walk_stop_reasons", "snapped_points", "coverage_nodes", "diagram_splices", "sorted_export", "splice_clusters", "stable_ids", "text_normalize", "text_classify", "provider_gate", "registry_lookup", "semantic_associations", "object_semantics", "role_observation_resolve", "endpoint_semantics", "boundary_resolution", "symbol_family", "electrical_components", "circuit_role_evidence", "wire_semantics", "geometry_ownership", "rejected_geometry_assoc", "terminal_location", "terminal_recognition", "connector_pins", "pin_endpoint_assoc", "ground_truth_match", "furniture_clusters", "wire_validation", "net_validation", "coverage_conductors", "extraction_audit", "model_diff", "svg_fragments", "svg_validate", "recognition_json_scan", "recognition_tsv_scan", "scope_regions", "rle_open_segments", "scope_mask", "ground_bar_sequences", "blob_classify", "text_region_score", "text_region_groups", "text_components", "overlap_suppression", "endpoint_directed_ink", "conductor_ink_filter", "topology_json", "layered_svg"]
 
 
 @pytest.mark.parametrize("name", QUICK)
