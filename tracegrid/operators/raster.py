@@ -213,6 +213,117 @@ def supported_lines(lines: DataFrame, ink: DataFrame, width: int, height: int, m
     return met.select(*PAGE, "seg", reason.alias("reason"), F.when(short, F.col("length")).otherwise(F.col("share")).alias("measurement"))
 
 
+def adaptive_ink(images: DataFrame, block: int = 31, below: float = 7.0) -> DataFrame:
+    """(page, y, x) of pixels darker by ``below`` than the Gaussian mean of the ``block`` around them.
+
+    ``images`` is (page, width, height, gray), a byte a pixel. The mean is separable; beyond the border the last pixel
+    repeats. An image is read by one task, which works through it in tiles of fixed height.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    half = block // 2
+    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    weights = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * sigma * sigma))
+    weights /= weights.sum()
+    tile = 256
+
+    def dark(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                source, page, width, height, gray = (batch.column(c)[row].as_py() for c in ("source_id", "page", "width", "height", "gray"))
+                if not width or not height or gray is None:
+                    continue
+                image = np.frombuffer(gray, dtype=np.uint8).reshape(height, width)
+                for top in range(0, height, tile):
+                    rows = np.clip(np.arange(top - half, min(top + tile, height) + half), 0, height - 1)
+                    wide = np.pad(image[rows].astype(float), ((0, 0), (half, half)), mode="edge")
+                    flat = sum(w * wide[:, i : i + width] for i, w in enumerate(weights))
+                    n = len(rows) - 2 * half
+                    mean = sum(w * flat[i : i + n] for i, w in enumerate(weights))
+                    y, x = np.nonzero(image[top : top + n] <= np.rint(mean) - below)
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(y), pa.string()), pa.array([page] * len(y), pa.int64()), pa.array(y + top, pa.int64()), pa.array(x, pa.int64())], names=["source_id", "page", "y", "x"])
+
+    return images.select(*PAGE, "width", "height", "gray").mapInArrow(dark, "source_id string, page long, y long, x long")
+
+
+def ground_approaches(grounds: DataFrame, ink: DataFrame, half: int = 12, height: int = 20, least: int = 4, most_runs: int = 6, widest: int = 30, jump: float = 24.0, keep: float = 1.5) -> DataFrame:
+    """(page, id, n, x1, y1, x2, y2, thickness): the conductors that lead to ground symbols (page, id, bx, by, bw, bh) whose
+    ends no segment reaches (``objects.unreached_grounds`` finds them), traced through the ink.
+
+    In the corridor of ``height`` rows over a symbol the 8-connected ink that touches the lowest row nearest to the middle
+    is followed upwards: of a row's runs the one nearest to the line so far. Too many runs, one too wide or a jump too
+    long gives no conductor, and nor do fewer than ``least`` cells or two rows. The line starts at the far end and meets
+    the symbol's upper middle; points within ``keep`` of the line through their neighbours go. Each symbol is a group of
+    its own, bounded by the corridor.
+    """
+
+    def trace(pdf):
+        import numpy as np
+        import pandas as pd
+
+        first = pdf.iloc[0]
+        ax, ay = int(first["ax"]), int(first["ay"])
+        cells = set(zip(pdf["y"].tolist(), pdf["x"].tolist()))
+        x0, lowest = max(0, ax - half), ay - 1
+        middle = (ax + half + 1 - x0) // 2
+
+        def spans(row, among):
+            xs = sorted(x for y, x in among if y == row)
+            cuts = [i for i in range(1, len(xs)) if xs[i] != xs[i - 1] + 1]
+            return [(xs[a], xs[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(xs)])] if xs else []
+
+        none = pd.DataFrame(columns=["source_id", "page", "id", "n", "x1", "y1", "x2", "y2", "thickness"])
+        touching = spans(lowest, cells)
+        if not touching:
+            return none
+        start = min(touching, key=lambda s: abs((s[0] + s[1] - 2 * x0) // 2 - middle))
+        part, edge = set(), [(lowest, start[0])]
+        while edge:
+            y, x = edge.pop()
+            if (y, x) in cells and (y, x) not in part:
+                part.add((y, x))
+                edge += [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        if len(part) < least:
+            return none
+        line, last = [], float(ax)
+        for row in range(lowest, min(y for y, _ in part) - 1, -1):
+            found = spans(row, part)
+            if not found:
+                continue
+            a, b = min(found, key=lambda s: abs((s[0] + s[1]) / 2 - last))
+            last, before = (a + b) / 2, last
+            if len(found) > most_runs or b - a + 1 > widest or abs(last - before) > jump:
+                return none
+            line.append((last, float(row)))
+        if len(line) < 2:
+            return none
+        line = [*line[:0:-1], (float(ax), float(ay))]
+        if len(line) < 2:
+            return none
+
+        pts, stay, todo = np.array(line), {0, len(line) - 1}, [(0, len(line) - 1)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            d, off = pts[b] - pts[a], pts[a + 1 : b] - pts[a]
+            size = float(np.hypot(*d))
+            far = np.abs(d[0] * off[:, 1] - d[1] * off[:, 0]) / size if size else np.hypot(off[:, 0], off[:, 1])
+            if far.max() > keep:
+                at = a + 1 + int(far.argmax())
+                stay.add(at)
+                todo += [(a, at), (at, b)]
+        ends = pts[sorted(stay)]
+        out = pd.DataFrame({"x1": ends[:-1, 0], "y1": ends[:-1, 1], "x2": ends[1:, 0], "y2": ends[1:, 1]})
+        return out.assign(source_id=first["source_id"], page=first["page"], id=first["id"], n=np.arange(len(out)), thickness=len(part) / len(line))[list(none.columns)]
+
+    at = grounds.select(*PAGE, "id", F.floor(F.col("bx") + F.floor(F.col("bw") / 2)).cast("long").alias("ax"), F.col("by").cast("long").alias("ay")).filter("ay > 0")
+    rows = at.withColumn("y", F.explode(F.sequence(F.greatest(F.col("ay") - height, F.lit(0)), F.col("ay") - 1)))
+    met = rows.join(ink, [*PAGE, "y"]).filter(F.col("x").between(F.greatest(F.col("ax") - half, F.lit(0)), F.col("ax") + half))
+    return met.groupBy(*PAGE, "id").applyInPandas(trace, "source_id string, page long, id string, n long, x1 double, y1 double, x2 double, y2 double, thickness double")
+
+
 def blob_kind(width: Column, height: Column, area: Column, circularity: Column) -> Column:
     """The primitive that a blob is: circle, line, rectangle, terminal lead, in this order of tests."""
     long, thin = F.greatest(width, height), F.least(width, height)
