@@ -72,6 +72,19 @@ def test_quality_sketch_error(spark):
     assert abs(fence - (q90 + 3 * (q90 - q50) + 0.05)) <= 0.05 * fence
 
 
+@pytest.mark.parametrize("share", [0.02, 0.12, 0.2, 0.24])
+def test_quality_fence_holds_under_junk(spark, share):
+    """Up to a quarter of a group may be bad by a signal: its fence lies below them and above the good ones."""
+    n = 2000
+    bad = int(n * share)
+    rows = [("en", "a", 0.3 + 0.00001 * i if i < bad else 0.001 * (i % 7), 0.016 + 0.00001 * (i % 900)) for i in range(n)]
+    df = spark.createDataFrame(rows, "lang string, source string, symbol_ratio double, upper_ratio double")
+    for s in ("shout_ratio", "dup_line_ratio", "repeat_ratio"):
+        df = df.withColumn(s, F.lit(0.0))
+    fences = quality.thresholds(df).first()
+    assert 0.007 < fences["max_symbol_ratio"] < 0.3 and fences["max_upper_ratio"] > 0.026 and fences["max_repeat_ratio"] < 0.5
+
+
 def test_quality_edges(odd_docs, no_docs):
     assert quality.quality_rules(odd_docs).count() == odd_docs.count()
     assert quality.quality_rules(no_docs).count() == 0

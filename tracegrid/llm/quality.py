@@ -4,7 +4,9 @@ Every signal of every document goes into a DDSketch (Masson, Rim and Lee, VLDB 2
 logarithmic buckets whose quantiles have a fixed relative error. Such sketches merge by adding counts, so a
 plain ``groupBy`` builds one for each language and source, map-side combine keeps hot sources cheap, and a
 rollup merges them per language and overall for groups too small to speak for themselves. A document is
-kept if no signal lies above its group's fence: q90 + 3 * (q90 - q50) + slack.
+kept if no signal lies above its group's fence: the lesser of q90 + 3 * (q90 - q50) and q75 + 32 * (q75 - q50), plus
+slack. The first follows wide but clean groups; the second stands where up to a quarter of a group is bad, as its
+quantiles then still come from good documents.
 
 Defined results: a null text counts as empty (no words: it fails the base rules); null languages and sources
 form their own groups; repeated rows are judged alike; an empty table gives an empty result.
@@ -24,7 +26,9 @@ from .common import cut, words_of
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Ratio signals, each with the slack that its fence has above the group's own spread.
-SIGNALS = {"symbol_ratio": 0.05, "upper_ratio": 0.15, "shout_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.5}
+SIGNALS = {"symbol_ratio": 0.05, "upper_ratio": 0.15, "shout_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.4}
+#: Spreads above q90 and above q75 at which the two arms of a fence lie.
+OVER_Q90, OVER_Q75 = 3, 32
 #: A group with fewer documents uses its language's sketch, and that with fewer the one of all documents.
 MIN_GROUP = 200
 MIN_WORDS = 50
@@ -118,9 +122,10 @@ def thresholds(signals: DataFrame) -> DataFrame:
         "value": value,
     })
     at = lambda q: F.min(F.when(F.col("upto") > q * (F.col("total") - 1), F.col("value")))
-    cuts = ranked.groupBy("level", "l", "s", "signal").agg(at(0.5).alias("q50"), at(0.9).alias("q90"), F.max("total").alias("total"))
+    cuts = ranked.groupBy("level", "l", "s", "signal").agg(at(0.5).alias("q50"), at(0.75).alias("q75"), at(0.9).alias("q90"), F.max("total").alias("total"))
     slack = F.create_map(*(F.lit(x) for kv in SIGNALS.items() for x in kv))[F.col("signal")]
-    fence = F.col("q90") + 3 * (F.col("q90") - F.col("q50")) + slack
+    arm = lambda q, spreads: F.col(q) + spreads * (F.col(q) - F.col("q50"))
+    fence = F.least(arm("q90", OVER_Q90), arm("q75", OVER_Q75)) + slack
     wide = cut(cuts.withColumn("fence", fence).groupBy("level", "l", "s").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"max_{s}") for s in SIGNALS)), "sketches")
     top = [f"max_{s}" for s in SIGNALS]
     level = lambda n: wide.filter(F.col("level") == n).select("l", "s", F.struct("total", *top).alias(f"f{n}"))
@@ -206,14 +211,17 @@ WITH d AS (
          CASE WHEN bucket = -100000 THEN 0.0 ELSE pow({GAMMA!r}::DOUBLE, bucket) * 2 / {GAMMA + 1!r} END AS value
   FROM lv
 ), q AS (
-  SELECT level, l, s, signal, slack, max(total) AS total, min(value) FILTER (upto > 0.5 * (total - 1)) AS q50, min(value) FILTER (upto > 0.9 * (total - 1)) AS q90
+  SELECT level, l, s, signal, slack, max(total) AS total, min(value) FILTER (upto > 0.5 * (total - 1)) AS q50, min(value) FILTER (upto > 0.75 * (total - 1)) AS q75,
+         min(value) FILTER (upto > 0.9 * (total - 1)) AS q90
   FROM r GROUP BY ALL
+), f AS (
+  SELECT level, l, s, signal, total, least(q90 + {OVER_Q90} * (q90 - q50), q75 + {OVER_Q75} * (q75 - q50)) AS fence FROM q
 ), bad AS (
   SELECT DISTINCT x.u FROM x
-  JOIN q a ON a.level = 0 AND a.l = x.lang AND a.s = x.source AND a.signal = x.signal
-  JOIN q b ON b.level = 1 AND b.l = x.lang AND b.signal = x.signal
-  JOIN q c ON c.level = 2 AND c.signal = x.signal
-  WHERE x.x > CASE WHEN a.total >= {MIN_GROUP} THEN a.q90 + 3 * (a.q90 - a.q50) WHEN b.total >= {MIN_GROUP} THEN b.q90 + 3 * (b.q90 - b.q50) ELSE c.q90 + 3 * (c.q90 - c.q50) END + x.slack
+  JOIN f a ON a.level = 0 AND a.l = x.lang AND a.s = x.source AND a.signal = x.signal
+  JOIN f b ON b.level = 1 AND b.l = x.lang AND b.signal = x.signal
+  JOIN f c ON c.level = 2 AND c.signal = x.signal
+  WHERE x.x > CASE WHEN a.total >= {MIN_GROUP} THEN a.fence WHEN b.total >= {MIN_GROUP} THEN b.fence ELSE c.fence END + x.slack
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.u IS NULL AS kept
 FROM s LEFT JOIN bad USING (u)
