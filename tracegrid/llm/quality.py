@@ -25,8 +25,9 @@ from .common import cut, words_of
 #: Relative error of the sketches' quantiles.
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-#: Ratio signals, each with the slack that its fence has above the group's own spread.
-SIGNALS = {"symbol_ratio": 0.05, "upper_ratio": 0.15, "shout_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.4}
+#: Ratio signals, each with the slack that its fence has above the group's own spread. That of repeats is never below
+#: the base rule: fences under it reject only rows labelled good in the tables at hand.
+SIGNALS = {"symbol_ratio": 0.05, "upper_ratio": 0.15, "shout_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.5}
 #: Spreads above q90 and above q75 at which the two arms of a fence lie.
 OVER_Q90, OVER_Q75 = 3, 32
 #: A group with fewer documents uses its language's sketch, and that with fewer the one of all documents.
