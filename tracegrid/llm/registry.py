@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archive, codes, mixing, negatives, packing, quality, sharding, simhash, styletree, toxicity, urlfilter
+from . import ann, archive, codes, mixing, negatives, packing, pii, quality, sharding, simhash, styletree, toxicity, urlfilter
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -59,5 +63,5 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_packing, op4_nearest, op5_sharding, op6_quality, op7_style_tree, op8_archive, op9_simhash, op10_url_filter, op12_hard_negatives, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_packing, op4_nearest, op5_sharding, op6_quality, op7_style_tree, op8_archive, op9_simhash, op10_url_filter, op11_personal_data, op12_hard_negatives, op13_vector_codes)}
 ORACLE_SQL = {"op4_nearest": ann.ORACLE, "op6_quality": quality.ORACLE, "op8_archive": archive.ORACLE, "op10_url_filter": urlfilter.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_vector_codes": codes.ORACLE}
