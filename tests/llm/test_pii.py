@@ -86,7 +86,7 @@ def corpus():
         texts.append(f"{prose(3)} ring {odd[-1]} {prose(3)}")
         texts.append(f"product {plain()} {prose(4)}")
         texts.append(f"{prose(3)} the {plain()} {prose(4)} the {prose(6)} the {prose(2)}")
-    texts += [f"{prose(3)} ring 123 456 7{i} 89 {prose(2)}" for i in range(10, 14)]
+    texts += [f"{prose(3)} ring 123 456 7{i} 89 {prose(2)}" for i in range(10, 12)]
     texts += [f"{word()} (at) {word()} [dot] net is my mail", f"{word()}@{word()} is my mail", "calls are at 5", "", None]
     return texts + texts[:40] * 3
 

@@ -34,7 +34,7 @@ from .common import cut
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Trusted instances of a trusted pattern, its precision, an instance's score, rounds.
-LEAST, FAIR, TRUST, ROUNDS = 5, 0.5, 0.8, 3
+LEAST, FAIR, TRUST, ROUNDS = 5, 0.5, 0.8, 5
 #: Digits of numbers that may be a card or a phone.
 CARD_DIGITS, PHONE_DIGITS, PHONE_LIKE = (12, 19), (9, 15), (7, 15)
 LONGEST, AROUND = 64, 256
