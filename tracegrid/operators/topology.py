@@ -69,14 +69,19 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy(*PAGE, "id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def node_kind(ends: Column, inner: Column, degree: Column) -> tuple[Column, Column]:
+    """(type, crossing or not) of a node at which so many segments end and so many pass."""
+    crossing = (inner >= 2) & (ends == 0)
+    junction = (inner + ends >= 3) | ((ends > 0) & (inner > 0))
+    return F.when(crossing, "crossing").when(junction & (degree >= 3), "splice").when(junction, "junction").when(inner + ends == 2, "continuation").otherwise("conductor_end"), crossing
+
+
 def topology_nodes(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(page, id, x, y, type, connective, degree). Two or more segments that cross without an end do not connect."""
     seen = points.groupBy(*PAGE, "x", "y").agg(F.count(F.when(F.col("is_end"), 1)).alias("ends"), F.count(F.when(~F.col("is_end"), 1)).alias("inner"))
     seen = seen.withColumn("id", node_id(F.col("x"), F.col("y"))).join(node_degree(edges), [*PAGE, "id"], "left")
     degree = F.coalesce("degree", F.lit(0)).cast("long")
-    crossing = (F.col("inner") >= 2) & (F.col("ends") == 0)
-    junction = (F.col("inner") + F.col("ends") >= 3) | ((F.col("ends") > 0) & (F.col("inner") > 0))
-    kind = F.when(crossing, "crossing").when(junction & (degree >= 3), "splice").when(junction, "junction").when(F.col("inner") + F.col("ends") == 2, "continuation").otherwise("conductor_end")
+    kind, crossing = node_kind(F.col("ends"), F.col("inner"), degree)
     return seen.select(*PAGE, "id", "x", "y", kind.alias("type"), (~crossing).alias("connective"), degree.alias("degree"))
 
 
@@ -100,8 +105,8 @@ class Topology:
             self.nodes = cut(self.nodes, "nodes")
 
 
-def gap_candidates(nodes: DataFrame, edges: DataFrame, lo: float = MIN_GAP, hi: float = MAX_GAP, facing: float = FACING) -> DataFrame:
-    """(page, a, b, gap2): pairs of degree-1 ends on one line that face each other, a before b."""
+def facing_ends(nodes: DataFrame, edges: DataFrame, lo: float = MIN_GAP, hi: float = MAX_GAP, facing: float = FACING) -> DataFrame:
+    """(page, an, ax, ay, bn, bx, by, gap2): pairs of degree-1 ends on one line that face each other, an before bn."""
     ends = nodes.filter("type = 'conductor_end' AND degree = 1").select(*PAGE, F.col("id").alias("n"), "x", "y")
     both = edges.select(*PAGE, F.col("from_node").alias("n"), F.col("x2").alias("nx"), F.col("y2").alias("ny")).unionByName(edges.select(*PAGE, F.col("to_node").alias("n"), F.col("x1").alias("nx"), F.col("y1").alias("ny")))
     known = ends.join(both, [*PAGE, "n"]).withColumns({"dx": F.col("x") - F.col("nx"), "dy": F.col("y") - F.col("ny")})
@@ -112,7 +117,12 @@ def gap_candidates(nodes: DataFrame, edges: DataFrame, lo: float = MIN_GAP, hi:
     gap2 = dx * dx + dy * dy
     flat = (F.abs(dy) <= facing) & (F.abs(dx) > facing) & (F.col("adx") * dx > 0) & (F.col("bdx") * -dx > 0) & (F.abs("ady") <= facing) & (F.abs("bdy") <= facing)
     steep = (F.abs(dx) <= facing) & (F.abs(dy) > facing) & (F.col("ady") * dy > 0) & (F.col("bdy") * -dy > 0) & (F.abs("adx") <= facing) & (F.abs("bdx") <= facing)
-    return near.filter((gap2 >= lo * lo) & (gap2 <= hi * hi) & (flat | steep)).select(*PAGE, F.col("an").alias("a"), F.col("bn").alias("b"), gap2.alias("gap2"))
+    return near.filter((gap2 >= lo * lo) & (gap2 <= hi * hi) & (flat | steep)).select(*PAGE, "an", "ax", "ay", "bn", "bx", "by", gap2.alias("gap2"))
+
+
+def gap_candidates(nodes: DataFrame, edges: DataFrame, lo: float = MIN_GAP, hi: float = MAX_GAP, facing: float = FACING) -> DataFrame:
+    """(page, a, b, gap2): pairs of degree-1 ends on one line that face each other, a before b."""
+    return facing_ends(nodes, edges, lo, hi, facing).select(*PAGE, F.col("an").alias("a"), F.col("bn").alias("b"), "gap2")
 
 
 def bridge_gaps(candidates: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ TEXTS = ["GND", "b+", "shared-function-feed", "  ign:", "red", "connector  C1",
 KINDS = ["enclosure", "circular_symbol", "chassis_ground", "primitive_symbol", "diagram_furniture"]
 CONFIDENCE = ["high", "medium", "low", "unresolved"]
 SOURCE = "lattice"
+#: Offsets of drawn lines from the lattice: of an axis, of a lower and an upper end.
+AXIS_OFF, LO_OFF, HI_OFF = (0.0, 0.0, 0.25, 0.5, -0.25, 1.0, -2.0, 3.0), (0.0, 0.5, -1.0, 2.5, -2.75), (0.0, -0.5, 1.0, -2.5, 3.0)
 
 
 def pick(values: list, index) -> F.Column:
@@ -45,6 +47,29 @@ class Adapters:
             (F.expr("10 * ((l_partkey * 7 + l_orderkey) % 12)") + pick(list(offsets), F.col("l_suppkey") % len(offsets))).alias("x"), (F.expr("10 * ((l_suppkey * 13 + l_orderkey * 3) % 9)") + pick(list(offsets), F.col("l_partkey") % len(offsets))).alias("y"),
         )
 
+    def drawn_segments(self) -> DataFrame:
+        """(source_id, page, id, o, axis, lo, hi, thickness, heavy, confidence) from lineitem: lines off the lattice, some of
+        them drawn twice or in pieces on axes that nearly agree."""
+        df = self.table("lineitem").selectExpr(
+            "l_orderkey div 75 AS page", "concat_ws('-', 'c', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS id", "CASE WHEN l_linenumber % 2 = 0 THEN 'V' ELSE 'H' END AS o",
+            "10 * ((l_partkey * 7 + l_orderkey) % 50) AS x", "10 * ((l_suppkey * 13 + l_orderkey * 3) % 40) AS y", "10 * (1 + CAST(l_quantity AS INT) % 6) AS len",
+            "l_suppkey % 8 AS a", "l_partkey % 5 AS b", "(l_partkey + l_linenumber) % 5 AS c", "CAST(1 + l_partkey % 3 AS DOUBLE) AS thickness", "l_partkey % 17 = 0 AS heavy", "CASE l_returnflag WHEN 'A' THEN 4 WHEN 'N' THEN 3 ELSE 2 END AS confidence",
+        ).distinct()
+        flat = F.col("o") == "H"
+        return df.select(
+            F.lit(SOURCE).alias("source_id"), "page", "id", "o", (F.when(flat, F.col("y")).otherwise(F.col("x")) + pick(list(AXIS_OFF), F.col("a"))).alias("axis"),
+            (F.when(flat, F.col("x")).otherwise(F.col("y")) + pick(list(LO_OFF), F.col("b"))).alias("lo"), (F.when(flat, F.col("x")).otherwise(F.col("y")) + F.col("len") + pick(list(HI_OFF), F.col("c"))).alias("hi"), "thickness", "heavy", "confidence",
+        )
+
+    def dashes(self) -> DataFrame:
+        """(source_id, page, y, x, value) from lineitem: gray pixels beyond the upper end of every third drawn line."""
+        df = self.table("lineitem").filter("l_partkey % 3 = 0").selectExpr(
+            f"'{SOURCE}' AS source_id", "l_orderkey div 75 AS page", "l_linenumber % 2 = 0 AS upright", "10 * ((l_partkey * 7 + l_orderkey) % 50) AS x", "10 * ((l_suppkey * 13 + l_orderkey * 3) % 40) AS y",
+            "10 * (1 + CAST(l_quantity AS INT) % 6) AS len", "2 + l_suppkey % 11 AS every", "l_partkey", "explode(sequence(0, 20)) AS i",
+        )
+        spot = df.filter("i % every = 0").selectExpr("source_id", "page", "CASE WHEN upright THEN y + len + i ELSE y END AS y", "CASE WHEN upright THEN x ELSE x + len + i END AS x", "(l_partkey * 7 + i * 31) % 256 AS value")
+        return spot.groupBy("source_id", "page", "y", "x").agg(F.min("value").alias("value"))
+
     def endpoint_kinds(self, endpoints: DataFrame) -> DataFrame:
         h = F.expr("((x + y) div 10) % 7")
         return endpoints.withColumn("kind", F.when(h == 0, "ground").when(h <= 3, "component_terminal").otherwise("geometric"))

@@ -72,6 +72,6 @@ CTES = {
 }
 
 
-def sql(body: str, **more: str) -> str:
-    """``body`` after the common table expressions."""
-    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in {**CTES, **more}.items()) + "\n" + body
+def sql(body: str, first: dict[str, str] | None = None, **more: str) -> str:
+    """``body`` after the common table expressions; ``first`` come before them, also in the place of some of them."""
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in {**(first or {}), **{k: v for k, v in CTES.items() if k not in (first or {})}, **more}.items()) + "\n" + body
