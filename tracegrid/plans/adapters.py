@@ -15,6 +15,19 @@ SOURCE = "lattice"
 #: Offsets of drawn lines from the lattice: of an axis, of a lower and an upper end.
 AXIS_OFF, LO_OFF, HI_OFF = (0.0, 0.0, 0.25, 0.5, -0.25, 1.0, -2.0, 3.0), (0.0, 0.5, -1.0, 2.5, -2.75), (0.0, -0.5, 1.0, -2.5, 3.0)
 
+#: Ten drawn symbols a page, in two rows of five; k says what is drawn and n how. Cells (dx, dy) of a symbol's 56 by 40 that
+#: are ink: boxes with a gap in the top side and content, circles and crossing lines, connector bodies with notches, ground
+#: symbols, objects with parts inside.
+SYMBOL_PAGE = (600, 200)
+SYMBOL_INK = """CASE k
+ WHEN 0 THEN (dx < 30 + n % 20 AND dy < 22 + n % 13 AND (dx IN (0, 29 + n % 20) OR dy IN (0, 21 + n % 13)) AND NOT (n % 3 = 1 AND dy = 0 AND dx BETWEEN 8 AND 8 + n % 23)) OR (n % 4 <> 3 AND dx BETWEEN 10 AND 13 AND dy BETWEEN 9 AND 11) OR (n % 7 = 2 AND dy = 15 AND dx BETWEEN 6 AND 22)
+ WHEN 1 THEN CASE WHEN n % 4 <> 0 THEN 4 * ((dx - 20) * (dx - 20) + (dy - 18) * (dy - 18)) BETWEEN (11 + 2 * (n % 11)) * (11 + 2 * (n % 11)) AND (13 + 2 * (n % 11)) * (13 + 2 * (n % 11)) ELSE dx IN (16, 24 + n % 7) OR dy IN (14, 22 + n % 7) END
+ WHEN 2 THEN dy < 24 + n % 9 AND dx < 36 + n % 12 AND (dx = (CASE WHEN dy BETWEEN 8 AND 15 THEN n % 6 ELSE 0 END) OR dx = 35 + n % 12 - (CASE WHEN dy BETWEEN 8 AND 15 AND n % 5 <> 2 THEN n % 6 ELSE 0 END) OR dy IN (0, 23 + n % 9)
+   OR (dy IN (8, 15) AND (dx <= n % 6 OR (n % 5 <> 2 AND dx >= 35 + n % 12 - n % 6))))
+ WHEN 3 THEN (dx = 20 AND dy < 6 AND n % 7 <> 0) OR (dy IN (6, 7) AND dx BETWEEN 10 AND 30) OR (dy IN (11 + n % 3, 12 + n % 3) AND dx BETWEEN 11 + n % 4 AND 29 - n % 4) OR (dy IN (16 + n % 3 + n % 5, 17 + n % 3 + n % 5) AND dx BETWEEN 15 + n % 2 AND 25 - n % 3)
+ ELSE (dx < 46 AND dy < 36 AND (dx IN (0, 45) OR dy IN (0, 35))) OR CASE n % 6 WHEN 0 THEN 4 * ((dx - 20) * (dx - 20) + (dy - 18) * (dy - 18)) <= 121 WHEN 1 THEN dx BETWEEN 10 AND 18 AND dy BETWEEN 8 AND 15 WHEN 2 THEN dy = 12 AND dx BETWEEN 8 AND 28
+   WHEN 3 THEN dy IN (18, 19) AND dx BETWEEN 1 AND 14 WHEN 4 THEN (dx = 10 AND dy BETWEEN 6 AND 20) OR (dy = 20 AND dx BETWEEN 10 AND 20) ELSE (dx BETWEEN 20 AND 24 AND dy BETWEEN 1 AND 14) OR (dx BETWEEN 8 AND 10 AND dy BETWEEN 20 AND 21) END END"""
+
 
 def pick(values: list, index) -> F.Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), index.cast("int") + 1)
@@ -70,6 +83,15 @@ class Adapters:
         spot = df.filter("i % every = 0").selectExpr("source_id", "page", "CASE WHEN upright THEN y + len + i ELSE y END AS y", "CASE WHEN upright THEN x ELSE x + len + i END AS x", "(l_partkey * 7 + i * 31) % 256 AS value")
         return spot.groupBy("source_id", "page", "y", "x").agg(F.min("value").alias("value"))
 
+    def symbols(self) -> DataFrame:
+        """(source_id, page, id, k, n, bx, by) from part: where ten symbols a page stand and what they are."""
+        return self.table("part").selectExpr(f"'{SOURCE}' AS source_id", "p_partkey div 10 AS page", "concat('symbol-', p_partkey) AS id", "p_size % 5 AS k", "p_partkey AS n", "20 + 110 * (p_partkey % 5) AS bx", "20 + 90 * ((p_partkey % 10) div 5) AS by")
+
+    def symbol_ink(self) -> DataFrame:
+        """(source_id, page, y, x): the pixels of the drawn symbols."""
+        cells = self.symbols().select("*", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("dy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(55))).alias("dx"))
+        return cells.filter(SYMBOL_INK).selectExpr("source_id", "page", "by + dy AS y", "bx + dx AS x")
+
     def endpoint_kinds(self, endpoints: DataFrame) -> DataFrame:
         h = F.expr("((x + y) div 10) % 7")
         return endpoints.withColumn("kind", F.when(h == 0, "ground").when(h <= 3, "component_terminal").otherwise("geometric"))
