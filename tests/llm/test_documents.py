@@ -62,11 +62,17 @@ def test_quality_sketch_is_mergeable(spark, small):
     assert sorted(map(tuple, merged.collect())) == whole
 
 
+def sized(df):
+    """Documents of 1,600 characters, 300 words and 6 lines: a median document's allowances are .05, .15, .05, .5 and .5."""
+    return df.withColumns({"word_chars": F.lit(1600), "n_words": F.lit(300), "n_lines": F.lit(6)})
+
+
 def test_quality_sketch_error(spark):
     values = [0.001 * 1.07**i for i in range(200)]
     df = spark.createDataFrame([("en", "a", v) for v in values], "lang string, source string, symbol_ratio double")
     for s in list(quality.SIGNALS)[1:]:
         df = df.withColumn(s, F.lit(0.0))
+    df = sized(df)
     fence = quality.thresholds(df).first()["max_symbol_ratio"]
     q50, q90 = (sorted(values)[int(q * 199)] for q in (0.5, 0.9))
     assert abs(fence - (q90 + 3 * (q90 - q50) + 0.05)) <= 0.05 * fence
@@ -81,10 +87,27 @@ def test_quality_fence_holds_under_junk(spark, share):
     df = spark.createDataFrame(rows, "lang string, source string, symbol_ratio double, upper_ratio double")
     for s in ("shout_ratio", "dup_line_ratio", "repeat_ratio"):
         df = df.withColumn(s, F.lit(0.0))
+    df = sized(df)
     fences = quality.thresholds(df).first()
     assert 0.007 < fences["max_symbol_ratio"] < 0.3 and fences["max_upper_ratio"] > 0.026
 
 
+def test_quality_verdict_depends_on_the_group(spark):
+    """The same text is kept among short documents and rejected among long ones, and a text with symbols is kept where such
+    texts are usual; the limits are the registered ones."""
+    words = lambda n, i: " ".join(f"word{(i * 31 + k) % 997}{'abcdefghij'[k % 10]}" for k in range(n))
+    odd = words(95, 5) + " " + "#" * 50  # symbols are some 6 % of its characters
+    rows = [(i, words(70 + i % 20, i), "en", "short") for i in range(300)] + [(1000 + i, words(700 + i % 50, i), "en", "long") for i in range(300)]
+    rows += [(2000 + i, words(700, i) + " #$%" * (40 + i % 60), "en", "code") for i in range(300)]
+    rows += [(n, odd, "en", s) for n, s in ((5000, "short"), (5001, "long"), (5002, "code"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    verdict = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality_rules(docs).collect()}
+    assert [verdict[n] for n in (5000, 5001, 5002)] == [(False, True), (False, False), (False, True)]
+    assert sum(kept for n, (_, kept) in verdict.items() if n < 5000) == 900
+    fences = {r.t_source: r for r in quality.thresholds(quality.quality_signals(docs)).collect()}
+    assert len({round(f[f"max_{s}"], 6) for f in fences.values() for s in ("symbol_ratio",)}) == 3
+
+
 def test_quality_edges(odd_docs, no_docs):
     assert quality.quality_rules(odd_docs).count() == odd_docs.count()
     assert quality.quality_rules(no_docs).count() == 0

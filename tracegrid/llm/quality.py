@@ -4,9 +4,11 @@ Every signal of every document goes into a DDSketch (Masson, Rim and Lee, VLDB 2
 logarithmic buckets whose quantiles have a fixed relative error. Such sketches merge by adding counts, so a
 plain ``groupBy`` builds one for each language and source, map-side combine keeps hot sources cheap, and a
 rollup merges them per language and overall for groups too small to speak for themselves. A document is
-kept if no signal lies above its group's fence: the lesser of q90 + 3 * (q90 - q50) and q75 + 32 * (q75 - q50), plus
-slack. The first follows wide but clean groups; the second stands where up to a quarter of a group is bad, as its
-quantiles then still come from good documents.
+kept if no signal lies above its group's fence: the lesser of q90 + 3 * (q90 - q50) and q75 + 32 * (q75 - q50), plus an
+allowance. The first follows wide but clean groups; the second stands where up to a quarter of a group is bad, as its
+quantiles then still come from good documents. The allowance is a number of characters, lines or words over the median
+size of the group's documents, from a sketch of sizes: what is little in a group of long documents may be much in one
+of short ones. So no limit is fixed, also for signals that most documents do not show and whose quantiles are 0.
 
 Defined results: a null text counts as empty (no words: it fails the base rules); null languages and sources
 form their own groups; repeated rows are judged alike; an empty table gives an empty result.
@@ -25,9 +27,10 @@ from .common import cut, words_of
 #: Relative error of the sketches' quantiles.
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-#: Ratio signals, each with the slack that its fence has above the group's own spread. That of repeats is never below
-#: the base rule: fences under it reject only rows labelled good in the tables at hand.
-SIGNALS = {"symbol_ratio": 0.05, "upper_ratio": 0.15, "shout_ratio": 0.05, "dup_line_ratio": 0.5, "repeat_ratio": 0.5}
+#: Ratio signals, each with what a document of its group's median size may have beyond the group's spread, and the size
+#: that it is a share of: a line's or three lines' length of characters, three lines, a long paragraph of repeated words.
+SIGNALS = {"symbol_ratio": (80, "word_chars"), "upper_ratio": (240, "word_chars"), "shout_ratio": (80, "word_chars"), "dup_line_ratio": (3, "n_lines"), "repeat_ratio": (150, "n_words")}
+SIZES = ("word_chars", "n_words", "n_lines")
 #: Spreads above q90 and above q75 at which the two arms of a fence lie.
 OVER_Q90, OVER_Q75 = 3, 32
 #: A group with fewer documents uses its language's sketch, and that with fewer the one of all documents.
@@ -95,12 +98,12 @@ def quality_signals(docs: DataFrame, text: str = "text") -> DataFrame:
         "shout_ratio": F.col("n_shout") / chars,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_ratio": F.col("n_repeat_words") / words,
-    }).drop("n_lines", "n_upper", "n_shout")
+    }).drop("n_upper", "n_shout")
 
 
 def sketches(signals: DataFrame) -> DataFrame:
-    """(lang, source, signal, bucket, n): the sketch of each group, bucket -100000 for zero."""
-    x = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("x")) for s in SIGNALS))).alias("s")
+    """(lang, source, signal, bucket, n): the sketch of each group, bucket -100000 for zero; sizes have sketches as well."""
+    x = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x")) for s in (*SIGNALS, *SIZES)))).alias("s")
     bucket = F.when(F.col("s.x") <= 0, F.lit(-100000)).otherwise(F.ceil(F.log(F.col("s.x")) / math.log(GAMMA))).cast("long")
     return signals.select("lang", "source", x).groupBy("lang", "source", F.col("s.signal").alias("signal"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -124,10 +127,11 @@ def thresholds(signals: DataFrame) -> DataFrame:
     })
     at = lambda q: F.min(F.when(F.col("upto") > q * (F.col("total") - 1), F.col("value")))
     cuts = ranked.groupBy("level", "l", "s", "signal").agg(at(0.5).alias("q50"), at(0.75).alias("q75"), at(0.9).alias("q90"), F.max("total").alias("total"))
-    slack = F.create_map(*(F.lit(x) for kv in SIGNALS.items() for x in kv))[F.col("signal")]
     arm = lambda q, spreads: F.col(q) + spreads * (F.col(q) - F.col("q50"))
-    fence = F.least(arm("q90", OVER_Q90), arm("q75", OVER_Q75)) + slack
-    wide = cut(cuts.withColumn("fence", fence).groupBy("level", "l", "s").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"max_{s}") for s in SIGNALS)), "sketches")
+    of = lambda signal, c: F.max(F.when(F.col("signal") == signal, c))
+    spread = F.least(arm("q90", OVER_Q90), arm("q75", OVER_Q75))
+    fences = (of(s, spread) + allowed / F.greatest(of(size, F.col("q50")), F.lit(1.0)) for s, (allowed, size) in SIGNALS.items())
+    wide = cut(cuts.groupBy("level", "l", "s").agg(F.max("total").alias("total"), *(f.alias(f"max_{s}") for s, f in zip(SIGNALS, fences))), "sketches")
     top = [f"max_{s}" for s in SIGNALS]
     level = lambda n: wide.filter(F.col("level") == n).select("l", "s", F.struct("total", *top).alias(f"f{n}"))
     own, lang = level(0), level(1).drop("s").withColumnRenamed("l", "l1")
@@ -173,7 +177,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return judge(written, cut(thresholds(written), "fences")).filter("kept").select("row.*")
 
 
-_ORACLE_SIGNALS = ", ".join(f"('{s}', {s}, {slack})" for s, slack in SIGNALS.items())
+_ORACLE_SIGNALS = ", ".join([*(f"('{s}', {s}, {allowed}, '{size}')" for s, (allowed, size) in SIGNALS.items()), *(f"('{s}', {s}::DOUBLE, NULL, NULL)" for s in SIZES)])
 
 ORACLE = rf"""
 WITH d AS (
@@ -200,29 +204,30 @@ WITH d AS (
          n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_ratio
   FROM b
 ), x AS (
-  SELECT u, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, v.signal, v.x, v.slack FROM s, LATERAL (VALUES {_ORACLE_SIGNALS}) v(signal, x, slack)
+  SELECT u, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, v.signal, v.x, v.allowed, v.size FROM s, LATERAL (VALUES {_ORACLE_SIGNALS}) v(signal, x, allowed, size)
 ), h AS (
   SELECT *, CASE WHEN x <= 0 THEN -100000 ELSE ceil(ln(x) / {math.log(GAMMA)!r}) END AS bucket FROM x
 ), lv AS (
-  SELECT 0 AS level, lang AS l, source AS s, signal, slack, bucket, count(*) AS n FROM h GROUP BY ALL
-  UNION ALL SELECT 1, lang, NULL, signal, slack, bucket, count(*) FROM h GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, signal, slack, bucket, count(*) FROM h GROUP BY ALL
+  SELECT 0 AS level, lang AS l, source AS s, signal, allowed, size, bucket, count(*) AS n FROM h GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, signal, allowed, size, bucket, count(*) FROM h GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, signal, allowed, size, bucket, count(*) FROM h GROUP BY ALL
 ), r AS (
   SELECT *, sum(n) OVER (PARTITION BY level, l, s, signal) AS total, sum(n) OVER (PARTITION BY level, l, s, signal ORDER BY bucket) AS upto,
          CASE WHEN bucket = -100000 THEN 0.0 ELSE pow({GAMMA!r}::DOUBLE, bucket) * 2 / {GAMMA + 1!r} END AS value
   FROM lv
 ), q AS (
-  SELECT level, l, s, signal, slack, max(total) AS total, min(value) FILTER (upto > 0.5 * (total - 1)) AS q50, min(value) FILTER (upto > 0.75 * (total - 1)) AS q75,
+  SELECT level, l, s, signal, allowed, size, max(total) AS total, min(value) FILTER (upto > 0.5 * (total - 1)) AS q50, min(value) FILTER (upto > 0.75 * (total - 1)) AS q75,
          min(value) FILTER (upto > 0.9 * (total - 1)) AS q90
   FROM r GROUP BY ALL
 ), f AS (
-  SELECT level, l, s, signal, total, least(q90 + {OVER_Q90} * (q90 - q50), q75 + {OVER_Q75} * (q75 - q50)) AS fence FROM q
+  SELECT q.level, q.l, q.s, q.signal, q.total, least(q.q90 + {OVER_Q90} * (q.q90 - q.q50), q.q75 + {OVER_Q75} * (q.q75 - q.q50)) + q.allowed / greatest(z.q50, 1) AS fence
+  FROM q JOIN q z ON z.level = q.level AND z.l IS NOT DISTINCT FROM q.l AND z.s IS NOT DISTINCT FROM q.s AND z.signal = q.size
 ), bad AS (
   SELECT DISTINCT x.u FROM x
   JOIN f a ON a.level = 0 AND a.l = x.lang AND a.s = x.source AND a.signal = x.signal
   JOIN f b ON b.level = 1 AND b.l = x.lang AND b.signal = x.signal
   JOIN f c ON c.level = 2 AND c.signal = x.signal
-  WHERE x.x > CASE WHEN a.total >= {MIN_GROUP} THEN a.fence WHEN b.total >= {MIN_GROUP} THEN b.fence ELSE c.fence END + x.slack
+  WHERE x.x > CASE WHEN a.total >= {MIN_GROUP} THEN a.fence WHEN b.total >= {MIN_GROUP} THEN b.fence ELSE c.fence END
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.u IS NULL AS kept
 FROM s LEFT JOIN bad USING (u)
