@@ -49,20 +49,20 @@ BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 50_000
 CARRIES, SHORT, REVISIT = "carries", "short", "revisit"
 
 
-def _table(spark: SparkSession, path: str, schema: str, buckets: int) -> DataFrame:
-    """The bucketed files of ``path`` as a table, so that Spark knows how their rows are dealt."""
-    name = f"store_{hashlib.blake2b(path.encode(), digest_size=12).hexdigest()}"
-    if not spark.catalog.tableExists(name):
-        spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(name)
-
+def _bucketed(spark: SparkSession, path: str, schema: str, buckets: int, fill: DataFrame | None = None) -> DataFrame:
+    """The bucketed files of ``path``, after ``fill`` is added to them, if given.
 
-def _store(df: DataFrame, path: str, schema: str, buckets: int) -> None:
-    """Write ``df`` to ``path`` as ``buckets`` by key."""
-    spark = df.sparkSession
-    _table(spark, path, schema, buckets)
-    dealt = df.repartition(buckets, "key")
-    dealt.write.insertInto(f"store_{hashlib.blake2b(path.encode(), digest_size=12).hexdigest()}")
+    Only a table of the catalog tells Spark how rows are dealt, so one stands for the files while they are written or
+    looked up. It is dropped at once: the files stay, and so does what the returned rows know of their buckets.
+    """
+    name = f"store_{hashlib.blake2b(path.encode(), digest_size=12).hexdigest()}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{path}'")
+    try:
+        if fill is not None:
+            fill.write.insertInto(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
@@ -73,13 +73,16 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
     thin = cut(base.withColumns(facts).select(F.monotonically_increasing_id().alias("uid"), "page_id", "url", "key", "sha1", "bytes"), "records")
     first = cut(thin.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "uid")).alias("first"), F.max("bytes").alias("bytes")).select("key", F.col("first.page_id").alias("first_page"), F.col("first.uid").alias("first_uid"), "bytes"), "first")
     total = first.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a multiple of the partitions of a shuffle, whose tasks then hold whole buckets
+    buckets = parts * min(max(1, MOST_BUCKETS // parts), max(1, -(-total // (BUCKET_BYTES * parts))))
     spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
 
     same = (F.min("sha1") == F.max("sha1")) & (F.min("bytes") == F.max("bytes"))
-    stored = base.withColumns(facts).repartition(buckets, "key").groupBy("key").agg(F.first("payload").alias("payload"), same.alias("same"))
+    # copies within a task become one before the exchange, so a payload that many pages share crosses it once a task
+    stored = base.withColumns(facts).groupBy("key").agg(F.first("payload").alias("payload"), same.alias("same"))
     stored = stored.select("key", F.when(F.col("same"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))).alias("payload"))
-    _store(stored, f"{path}/payloads", PAYLOADS, buckets)
+    _bucketed(spark, f"{path}/payloads", PAYLOADS, buckets, stored)
 
     known = thin.join(first.drop("bytes"), "key")
     own, short = F.col("uid") == F.col("first_uid"), F.col("bytes") < min_revisit_bytes
@@ -102,7 +105,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
         F.lit(""),
     )
     headers = cut(known.select("kind", header.alias("header"), "http", "key"), "headers")
-    _store(headers.filter(F.col("kind") == CARRIES).select("header", "http", "key"), f"{path}/headers/kind={CARRIES}", HEADERS, buckets)
+    _bucketed(spark, f"{path}/headers/kind={CARRIES}", HEADERS, buckets, headers.filter(F.col("kind") == CARRIES).select("header", "http", "key").repartition(buckets, "key"))
     for kind in (SHORT, REVISIT):
         headers.filter(F.col("kind") == kind).select("header", "http", "key").write.option("compression", "zstd").parquet(f"{path}/headers/kind={kind}")
 
@@ -131,7 +134,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def archived_records(spark: SparkSession, path: str) -> DataFrame:
     """(header, http, payload) of every record as the archive holds it: a revisit's payload is empty."""
     buckets = spark.read.parquet(f"{path}/layout").first().buckets
-    carrying = _met(_table(spark, f"{path}/headers/kind={CARRIES}", HEADERS, buckets), _table(spark, f"{path}/payloads", PAYLOADS, buckets))
+    carrying = _met(_bucketed(spark, f"{path}/headers/kind={CARRIES}", HEADERS, buckets), _bucketed(spark, f"{path}/payloads", PAYLOADS, buckets))
     plain = lambda kind: spark.read.schema(HEADERS).parquet(f"{path}/headers/kind={kind}")
     others = plain(REVISIT).select("header", "http", F.lit(b"").alias("payload"))
     if not plain(SHORT).isEmpty():
