@@ -76,6 +76,20 @@ def test_names_tell_at_any_depth(depth):
     assert styletree.main_text(f"<nav>{'<div>' * depth}menu{'</div>' * depth}</nav><p>kept</p>") == "kept"
 
 
+@pytest.mark.parametrize("depth", [3, 62, 63, 64, 65, 80, 200])
+def test_entropy_tells_at_any_depth(spark, depth):
+    """The same section on every page and one that differs, without telling names, far down in the page."""
+    deep = lambda x: f"<body>{'<div>' * depth}{x}{'</div>' * depth}</body>"
+    pages = [deep(f"<section><h2>Same line on every page</h2></section><section class=x><p>Text number {i} of the page</p></section>") for i in range(60)]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in styletree.extract_text(df).collect()} == {i: f"Text number {i} of the page" for i in range(60)}
+
+
+def test_nodes_differ_below_a_digest():
+    leaves = [leaf for leaf, _ in styletree.blocks_of("<div>" * 100 + "<section>a</section><aside2>b</aside2>" + "<div>" * 70 + "c")]
+    assert len(set(leaves)) == 3 and all(len(styletree.branch(leaf)) <= styletree.DEEPEST + 1 and len(leaf) < 500 for leaf in leaves)
+
+
 def test_names_of_inline_elements():
     page = "<p>One <span class='advert'>Buy <span>now</span> <b>this</b></span>two<a class=share href=x>Share</a> three.</p>"
     assert styletree.main_text(page) == "One two three."
@@ -223,6 +237,33 @@ def test_archive_against_sql(spark, small, duck, same):
     same(registry.op8_archive(spark, small), duck, registry.ORACLE_SQL["op8_archive"])
 
 
+def test_archive_leaves_no_tables(spark, small):
+    from tracegrid.functions.shared import release
+
+    rows = registry.op8_archive(spark, small)
+    assert rows.count() > 0 and [t.name for t in spark.catalog.listTables() if t.name.startswith("store_")] == []
+    release(spark)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("store_")] == []
+
+
+def test_copies_of_a_payload_become_one_before_the_exchange(spark, tmp_path, monkeypatch):
+    seen = {}
+    real = archive._bucketed
+
+    def kept(spark, path, schema, buckets, fill=None):
+        if path.endswith("/payloads") and fill is not None:
+            seen["plan"] = fill._jdf.queryExecution().executedPlan().toString()
+        return real(spark, path, schema, buckets, fill)
+
+    monkeypatch.setattr(archive, "_bucketed", kept)
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "IF(id % 4 = 0, concat('own ', id), repeat('the same page ', 500)) AS html")
+    archive.write_archive(pages, f"file://{tmp_path}/a")
+    plan = seen["plan"]
+    assert plan.count("Exchange") == 1 and "partial_first" in plan[plan.index("Exchange") :]
+    back = archive.archived_records(spark, f"file://{tmp_path}/a")
+    assert back.count() == 400 and back.filter("octet_length(payload) > 0").count() == 101
+
+
 # url filters
 
 
@@ -246,6 +287,26 @@ def test_url_rules(spark, odd_pages, no_pages):
     assert {r.verdict for r in urlfilter.filter_urls(odd_pages, empty).collect()} == {"allow"}
 
 
+def test_control_characters_in_hosts(spark):
+    """No label of a host passes for the end of another, whatever it holds."""
+    hosts = ["net\x01a", "a.net\x01", "a\x01.net", "\x01net", "net", "a.net", "net\x02", "net\x02\x03a", "net\x00", "x\x02\x03.net", ".net", "net.", "a..net", "", "x.net\x01a"]
+    rules = [("block", "net", "/"), ("allow", "net\x01a", "/"), ("block", "net\x02\x03a", "/x")]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/x")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = urlfilter.filter_urls(df, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()
+    assert sorted(map(repr, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(repr((i, *brute(u, rules))) for i, u in enumerate(urls))
+
+
+def test_long_paths_and_hosts_over_many_ranges(spark):
+    """Keys that agree in more characters than decide their range."""
+    long = "s" * 300
+    rules = [("block", "net", "/"), ("allow", "net", f"/{long}/a"), ("allow", f"{long}.net", "/")]
+    urls = [f"http://h.net/{long}/{c}/{i}" for c in "ab" for i in range(300)] + [f"http://w.{long}.net/{i % 7}" for i in range(300)] + [f"http://net/{long}/a/{i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    got = urlfilter.filter_urls(df, spark.createDataFrame(rules, "verdict string, host string, path string"), range_rows=100).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == sorted((i, *brute(u, rules)) for i, u in enumerate(urls))
+
+
 def test_nested_rules_over_many_ranges(spark):
     hosts = ["net", "a.net", "b.a.net", "xa.net", "c.b.a.net", "org", "a.org"]
     rules = [("block", "net", "/"), ("allow", "a.net", "/x"), ("block", "b.a.net", "/x/y"), ("allow", "b.a.net", "/x"), ("block", "org", "/x/"), ("allow", "net", "/x/y/z")]

@@ -6,10 +6,11 @@ dealt to ranges of keys and sorted together; one sweep over a range keeps a stac
 the current key. A url takes the longest rule on the stack whose path its own path starts with: the longest host
 first, then the longest path.
 
-Ranges are cut at full keys (host and path), so a hot host spans many of them, and a single key that is a large part of
-all rows spans several too: between equal bounds its rows are dealt round robin. A rule goes to each range that its
-interval meets. Bounds are quantiles of a sample of keys (``PER_RANGE`` for each range, at most ``MOST_RANGES`` ranges,
-so 400,000 keys at any size of the data); the sample only decides where rows go. A key finds its range by bisection.
+Ranges are cut at the first ``HEAD`` characters of keys (host and path), so a hot host spans many of them, and a head that
+is a large part of all rows spans several too: between equal bounds its rows are dealt round robin. A rule goes to each
+range that its interval meets. Bounds are quantiles of a sample of heads (``PER_RANGE`` for each range, at most
+``MOST_RANGES`` ranges, so 400,000 heads at any size of the data); the sample only decides where rows go. A key finds its
+range by bisection. Sweeps sort and compare whole keys.
 
 Defined results: a null url, or one without "://", has empty host and path and meets no rule; a url that no rule fits
 is allowed; repeated rows are judged alike; an empty table gives an empty result; without rules all is allowed.
@@ -30,6 +31,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 DEFAULT = "allow"
 #: Urls in a range, keys that are looked at for each range to cut them, and ranges at most (they grow beyond).
 RANGE_ROWS, PER_RANGE, MOST_RANGES = 200_000, 20, 20_000
+#: Characters of a key that decide its range.
+HEAD = 256
 #: Sorts after all that a key holds.
 LAST = "\U0010ffff"
 
@@ -44,8 +47,10 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """Labels in reverse, each ended by U+0001, which sorts below all that a host holds; empty for an empty host."""
-    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01")))
+    """Labels in reverse, each ended by U+0001; empty for an empty host. In a label U+0001 and U+0002 are written as U+0002
+    with U+0003 or U+0002 after it, so U+0001 ends labels only and keys of different hosts differ."""
+    plain = F.replace(F.replace(host, F.lit("\x02"), F.lit("\x02\x02")), F.lit("\x01"), F.lit("\x02\x03"))
+    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), "\x01"), F.lit("\x01")))
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -88,7 +93,7 @@ def range_bounds(urls: DataFrame, ranges: int, n: int) -> list[str]:
     if ranges < 2:
         return []
     share = min(1.0, PER_RANGE * ranges / n)
-    drawn = sorted(r.key for r in urls.sample(fraction=share, seed=7).select("key").collect())  # about PER_RANGE * ranges
+    drawn = sorted(r.key for r in urls.sample(fraction=share, seed=7).select(F.substring("key", 1, HEAD).alias("key")).collect())  # about PER_RANGE * ranges
     return [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
 
 
@@ -105,14 +110,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, range_rows: in
     @F.pandas_udf("int")
     def dealt_to(keys: pd.Series) -> pd.Series:
         cuts = bounds.value
-        first = [bisect_left(cuts, k) for k in keys]
-        last = [bisect_right(cuts, k, a) for k, a in zip(keys, first)]
+        heads = [k[:HEAD] for k in keys]
+        first = [bisect_left(cuts, k) for k in heads]
+        last = [bisect_right(cuts, k, a) for k, a in zip(heads, first)]
         return pd.Series([a + i % (b - a + 1) for i, (a, b) in enumerate(zip(first, last))], dtype="int32")
 
     @F.pandas_udf("array<int>")
     def met_in(keys: pd.Series) -> pd.Series:
         cuts = bounds.value
-        return pd.Series([list(range(bisect_left(cuts, k), bisect_right(cuts, k + LAST) + 1)) for k in keys], dtype=object)
+        return pd.Series([list(range(bisect_left(cuts, k[:HEAD]), bisect_right(cuts, k[:HEAD] + LAST) + 1)) for k in keys], dtype=object)
 
     dealt = urls.select(dealt_to("key").alias("cell"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     hosts = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
