@@ -185,16 +185,17 @@ def _graph(pdf) -> PageGraph:
     return PageGraph(*(pdf[pdf["t"] == t] for t in "enp"))
 
 
-def wires(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame) -> DataFrame:
+def wires(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame, passes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(page, pass, start_endpoint, end_endpoint, edges in order, segments, status): pass 1 are unambiguous conductors,
-    pass 2 those that one segment carries through distribution nodes and crossings."""
+    pass 2 those that one segment carries through distribution nodes and crossings. Only ``passes`` are given, and a pass
+    that they do not need is not walked."""
     import pandas as pd
 
     def walk(pdf):
         g, key = _graph(pdf), (pdf["source_id"].iloc[0], pdf["page"].iloc[0])
         first = g.plain_wires()
-        rows = [(*key, 1, a, b, path, g.pieces(path), "resolved") for a, b, path in first]
-        second = g.segment_wires({x for a, b, _ in first for x in (a, b)})
+        rows = [(*key, 1, a, b, path, g.pieces(path), "resolved") for a, b, path in first] if 1 in passes else []
+        second = g.segment_wires({x for a, b, _ in first for x in (a, b)}) if 2 in passes else {}
         rows += [(*key, 2, a, b, path, g.pieces(path), "conflicted" if doubt else "resolved") for (a, b), (path, _, doubt) in sorted(second.items())]
         return pd.DataFrame(rows, columns=["source_id", "page", "pass", "start_endpoint", "end_endpoint", "edges", "segments", "status"])
 
@@ -213,28 +214,43 @@ def walk_stops(edges: DataFrame, nodes: DataFrame, endpoints: DataFrame) -> Data
     return _by_page(edges, nodes, endpoints).applyInPandas(walk, STOP_SCHEMA)
 
 
-def tree_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(page, root, start, node, path): the edges on the way from each component's ``start`` to every other node.
+def tree_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(page, root, start, node, path): the edges on the way from each component's ``start`` to every other node, or to those
+    of ``targets`` (page, node) only.
 
-    ``edges`` (page, root, id, from_node, to_node) are trees, ``starts`` (page, root, start) one node of each.
+    ``edges`` (page, root, id, from_node, to_node) are trees, ``starts`` (page, root, start) one node of each. Nodes know
+    the edge that they were reached by, and only the nodes asked for walk back to the start.
     """
     import pandas as pd
 
+    every = targets is None
+    asked = starts.select(*PAGE, "root", F.col("start").alias("node"), F.lit(True).alias("begins"))
+    if not every:
+        asked = asked.unionByName(targets.select(*PAGE, F.lit(None).cast("string").alias("root"), "node", F.lit(False).alias("begins")))
+
     def spread(key, e, s):
         at: dict[str, list[tuple[str, str]]] = {}
         for i, a, b in zip(e["id"], e["from_node"], e["to_node"]):
             at.setdefault(a, []).append((i, b))
             at.setdefault(b, []).append((i, a))
+        begins = s["begins"].astype(bool)
+        wanted = set(s["node"][~begins])
         rows = []
-        for root, start in zip(s["root"], s["start"]):
-            seen, todo = {start}, [(start, ())]
+        for root, start in zip(s["root"][begins], s["node"][begins]):
+            back: dict[str, tuple[str, str] | None] = {start: None}
+            todo = [start]
             while todo:
-                node, path = todo.pop()
+                node = todo.pop()
                 for i, other in at.get(node, ()):
-                    if other not in seen:
-                        seen.add(other)
-                        todo.append((other, (*path, i)))
-                        rows.append((key[0], key[1], root, start, other, [*path, i]))
+                    if other not in back:
+                        back[other] = (i, node)
+                        todo.append(other)
+                        if every or other in wanted:
+                            path, step = [], back[other]
+                            while step:
+                                path.append(step[0])
+                                step = back[step[1]]
+                            rows.append((key[0], key[1], root, start, other, path[::-1]))
         return pd.DataFrame(rows, columns=["source_id", "page", "root", "start", "node", "path"])
 
-    return edges.groupBy(*PAGE).cogroup(starts.groupBy(*PAGE)).applyInPandas(spread, "source_id string, page long, root string, start string, node string, path array<string>")
+    return edges.groupBy(*PAGE).cogroup(asked.groupBy(*PAGE)).applyInPandas(spread, "source_id string, page long, root string, start string, node string, path array<string>")

@@ -129,6 +129,41 @@ def aligned_terminals(endpoints: DataFrame, edges: DataFrame, components: DataFr
     return found.join(existing.select(*PAGE, "endpoint_id", "component_id"), [*PAGE, "endpoint_id", "component_id"], "left_anti")
 
 
+def recognized_terminals(components: DataFrame, primitives: DataFrame, endpoints: DataFrame, edges: DataFrame, existing: DataFrame, lead_reach: float = 6.0, reach: float = ALIGNED_REACH, least: float = ALIGNED_COSINE) -> DataFrame:
+    """(page, endpoint_id, component_id, primitive_id, kind, confidence): terminals that the parts of components tell of.
+
+    A lead (``primitives`` page, id, component_id, kind, bx, by, bw, bh, confidence) takes the end nearest to it, within
+    ``lead_reach``; two that are as near give none. The weaker of the lead's confidence and that of the distance holds,
+    and an unresolved one gives no terminal. A component with parts but no lead takes the ends near its box, but not on
+    it, of which a conductor goes on towards the nearest point of the box. A pair of end and component comes once, by the
+    first lead, and not if ``existing`` has it.
+    """
+    known = components.filter(F.col("kind").isin(*TERMINAL_KIND)).select(*PAGE, F.col("id").alias("component_id"), F.col("kind").alias("component_kind"))
+    had = existing.select(*PAGE, "endpoint_id", "component_id")
+    points = endpoints.select(*PAGE, F.col("id").alias("endpoint_id"), "node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    zero, at = F.lit(0.0), (F.col("x"), F.col("y"))
+    d2 = point_box2(at, box_of("o_"))
+    leads = primitives.filter("kind = 'terminal_lead'")
+    met = range_join(points, _named(leads, "component_id", "confidence"), (*at, zero, zero), box_of("o_"), lead_reach, PAGE, "endpoint_id", "obj", cell=160.0).withColumn("d2", d2).filter(F.col("d2") <= lead_reach * lead_reach)
+    nearest = met.withColumn("k", F.rank().over(Window.partitionBy(*PAGE, "obj").orderBy("d2"))).filter("k = 1").groupBy(*PAGE, F.col("obj").alias("primitive_id"), "component_id", "confidence").agg(F.count(F.lit(1)).alias("n"), F.min("endpoint_id").alias("endpoint_id"), F.min("d2").alias("d2")).filter("n = 1")
+    ranks, names = F.create_map(*(F.lit(v) for pair in (("high", 3), ("medium", 2), ("low", 1)) for v in pair)), F.array(*(F.lit(c) for c in ("low", "medium", "high")))
+    by_distance = F.when(F.col("d2") <= 4, 3).when(F.col("d2") <= 16, 2).otherwise(1)
+    weaker = F.least(F.coalesce(ranks[F.col("confidence")], F.lit(0)), by_distance)
+    told = nearest.withColumn("rank", weaker).filter("rank > 0").join(known, [*PAGE, "component_id"]).join(had, [*PAGE, "endpoint_id", "component_id"], "left_anti")
+    first = told.withColumn("k", F.row_number().over(Window.partitionBy(*PAGE, "endpoint_id", "component_id").orderBy("primitive_id"))).filter("k = 1")
+    by_lead = first.select(*PAGE, "endpoint_id", "component_id", "primitive_id", map_column(TERMINAL_KIND, F.col("component_kind")).alias("kind"), F.element_at(names, F.col("rank")).alias("confidence"))
+    owners = primitives.groupBy(*PAGE, "component_id").agg(F.max(F.col("kind") == "terminal_lead").alias("has_lead")).filter("NOT has_lead")
+    bare = components.filter(F.col("kind").isin(*TERMINAL_KIND)).join(owners.select(*PAGE, F.col("component_id").alias("id")), [*PAGE, "id"], "left_semi")
+    both = edges.select(*PAGE, F.col("from_node").alias("node_id"), F.col("x2").alias("nx"), F.col("y2").alias("ny")).unionByName(edges.select(*PAGE, F.col("to_node").alias("node_id"), F.col("x1").alias("nx"), F.col("y1").alias("ny")))
+    ends = points.join(both, [*PAGE, "node_id"])
+    near = range_join(ends, _named(bare, "kind"), (*at, zero, zero), box_of("o_"), reach, PAGE, "endpoint_id", "obj", cell=160.0).withColumn("d2", d2)
+    side = lambda v, lo, size: F.greatest(F.col(lo), F.least(F.col(v), F.col(lo) + F.col(size)))
+    toward = cosine(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"), side("x", "o_bx", "o_bw") - F.col("x"), side("y", "o_by", "o_bh") - F.col("y"))
+    aligned = near.filter((F.col("d2") > 0) & (F.col("d2") <= reach * reach) & (toward >= least)).groupBy(*PAGE, "endpoint_id", F.col("obj").alias("component_id"), "kind").agg(F.min("d2").alias("d2")).join(had, [*PAGE, "endpoint_id", "component_id"], "left_anti")
+    by_direction = aligned.select(*PAGE, "endpoint_id", "component_id", F.lit(None).cast("string").alias("primitive_id"), map_column(TERMINAL_KIND, F.col("kind")).alias("kind"), F.when(F.col("d2") <= 16, "medium").otherwise("low").alias("confidence"))
+    return by_lead.unionByName(by_direction)
+
+
 def connector_attachment(connectors: DataFrame, components: DataFrame, reach: float = 2.0) -> DataFrame:
     """(page, id, topology, component_id): one component at hand is the carrier, none makes it inline, more unknown."""
     left = connectors.select(*PAGE, "id", *(F.col(c).cast("double").alias(f"c_{c}") for c in ("bx", "by", "bw", "bh")))

@@ -110,7 +110,7 @@ _PASS1 = "SELECT w.page, w.start AS start_endpoint, p.id AS end_endpoint, w.path
 @query(f"SELECT page, start_endpoint, end_endpoint, array_to_string(path, ',') AS edges FROM ({_PASS1})")
 def wires_pass1(spark, sf_dir):
     d = Drawn(spark, sf_dir)
-    w = graph.wires(d.edges, d.nodes, d.endpoints).filter("pass = 1")
+    w = graph.wires(d.edges, d.nodes, d.endpoints, passes=(1,))
     return w.select("page", "start_endpoint", "end_endpoint", F.array_join("edges", ",").alias("edges"))
 
 
@@ -142,7 +142,7 @@ _CTE2 = {
 @query("SELECT DISTINCT w.page, least(w.start, p.id) AS start_endpoint, greatest(w.start, p.id) AS end_endpoint, 'resolved' AS status FROM walk2 w JOIN free p ON p.page = w.page AND p.node_id = w.node WHERE w.start <> p.id", **_CTE2)
 def wires_pass2(spark, sf_dir):
     d = Drawn(spark, sf_dir)
-    return graph.wires(d.edges, d.nodes, d.endpoints).filter("pass = 2").select("page", "start_endpoint", "end_endpoint", "status")
+    return graph.wires(d.edges, d.nodes, d.endpoints, passes=(2,)).select("page", "start_endpoint", "end_endpoint", "status")
 
 
 @query()
@@ -217,7 +217,7 @@ def splice_clusters(spark, sf_dir):
 @query("SELECT e.page, e.id FROM eps e WHERE NOT EXISTS (SELECT 1 FROM claimed c WHERE c.page = e.page AND c.id = e.id)", **_CTE2)
 def residual_endpoints(spark, sf_dir):
     d = Drawn(spark, sf_dir)
-    claimed = graph.wires(d.edges, d.nodes, d.endpoints).filter("pass = 1").select(*topology.PAGE, F.explode(F.array("start_endpoint", "end_endpoint")).alias("id"))
+    claimed = graph.wires(d.edges, d.nodes, d.endpoints, passes=(1,)).select(*topology.PAGE, F.explode(F.array("start_endpoint", "end_endpoint")).alias("id"))
     return d.endpoints.join(claimed, [*topology.PAGE, "id"], "left_anti").select("page", "id")
 
 

@@ -32,7 +32,7 @@ class Model(Drawn):
 
     def __init__(self, spark, sf_dir):
         super().__init__(spark, sf_dir, reuse=True)
-        self.wires = cut(graph.wires(self.edges, self.nodes, self.endpoints).filter("pass = 1"), "wires")
+        self.wires = cut(graph.wires(self.edges, self.nodes, self.endpoints, passes=(1,)), "wires")
 
     def spoiled(self):
         """Wires with a fault that depends on the page, to have something to find."""

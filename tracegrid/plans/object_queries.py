@@ -123,6 +123,35 @@ def terminal_recognition(spark, sf_dir):
     return J.aligned_terminals(d.endpoints, d.edges, d.views.components(), located).drop("source_id")
 
 
+#: Parts of components: of a component's number by 5, one is a lead at its right side, two have a lead and a disc, one a line.
+_PRIMITIVES = {
+    **_TL,
+    "prim": """SELECT page, 'part-' || id || '-' || j AS id, id AS component_id, CASE WHEN m = 0 OR (m IN (1, 2) AND j = 0) THEN 'terminal_lead' WHEN m = 3 THEN 'line' ELSE 'circle' END AS kind, bx + bw - 2 - 4 * j AS bx, g.top + 3 * (m % 3) AS top, 6 AS bw, 4 AS bh, confidence
+        FROM (SELECT page, id, bx, bw, c.by AS top, confidence, (bx + 5) // 10 * 7 % 5 AS m FROM components c) g, (SELECT unnest([0, 1]) AS j) WHERE m < 4 AND (j = 0 OR m IN (1, 2))""",
+    "tkind": "SELECT page, id, CASE kind WHEN 'chassis_ground' THEN 'ground_connection' WHEN 'primitive_symbol' THEN 'connector_boundary' ELSE 'component_boundary' END AS tk, bx, c2.by AS top, bw, bh FROM components c2 WHERE kind <> 'diagram_furniture'",
+    "ld": "SELECT p.page, p.id, component_id, confidence, e.id AS endpoint_id, pow(greatest(p.bx - e.x, e.x - (p.bx + p.bw), 0), 2) + pow(greatest(p.top - e.y, e.y - (p.top + p.bh), 0), 2) AS d2 FROM prim p JOIN eps e ON e.page = p.page WHERE p.kind = 'terminal_lead'",
+    "ln": "SELECT page, id, component_id, confidence, min(endpoint_id) AS endpoint_id, d2 FROM (SELECT *, rank() OVER (PARTITION BY page, id ORDER BY d2) AS k FROM ld WHERE d2 <= 36) WHERE k = 1 GROUP BY ALL HAVING count(*) = 1",
+    "lr": "SELECT *, least(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END, CASE WHEN d2 <= 4 THEN 3 WHEN d2 <= 16 THEN 2 ELSE 1 END) AS r FROM ln",
+    "al": """SELECT DISTINCT e.page, e.id AS endpoint_id, t.id AS component_id, tk, pow(greatest(t.bx - e.x, e.x - (t.bx + t.bw), 0), 2) + pow(greatest(t.top - e.y, e.y - (t.top + t.bh), 0), 2) AS d2, m.x - e.x AS dx, m.y - e.y AS dy, greatest(t.bx, least(e.x, t.bx + t.bw)) - e.x AS tx, greatest(t.top, least(e.y, t.top + t.bh)) - e.y AS ty
+        FROM tkind t JOIN eps e ON e.page = t.page AND e.x BETWEEN t.bx - 16 AND t.bx + t.bw + 16 AND e.y BETWEEN t.top - 16 AND t.top + t.bh + 16 JOIN inc i ON i.page = e.page AND i.n = e.node_id JOIN nodes m ON m.page = i.page AND m.id = i.o
+        WHERE (t.page, t.id) IN (SELECT (page, component_id) FROM prim GROUP BY page, component_id HAVING NOT bool_or(kind = 'terminal_lead'))""",
+}
+
+
+@query("""SELECT lr.page, endpoint_id, component_id, lr.id AS primitive_id, tk AS kind, (['low', 'medium', 'high'])[r] AS confidence FROM lr JOIN tkind t ON t.page = lr.page AND t.id = component_id WHERE r > 0 AND (lr.page, endpoint_id, component_id) NOT IN (SELECT (page, endpoint_id, component_id) FROM tl)
+       QUALIFY row_number() OVER (PARTITION BY lr.page, endpoint_id, component_id ORDER BY lr.id) = 1
+       UNION ALL SELECT DISTINCT page, endpoint_id, component_id, NULL, tk, CASE WHEN d2 <= 16 THEN 'medium' ELSE 'low' END FROM al WHERE d2 > 0 AND d2 <= 256 AND (dx * tx + dy * ty) / sqrt((dx * dx + dy * dy)::DOUBLE * (tx * tx + ty * ty)) >= 0.85 AND (page, endpoint_id, component_id) NOT IN (SELECT (page, endpoint_id, component_id) FROM tl)""", **_PRIMITIVES)
+def terminal_candidates(spark, sf_dir):
+    """Terminals by leads and, for components with parts but no lead, by the direction of conductors."""
+    d, located = _located(spark, sf_dir)
+    c = d.views.components()
+    m, j = F.expr("(bx + 5) div 10 * 7 % 5"), F.col("j")
+    parts = c.withColumn("m", m).withColumn("j", F.explode(F.array(F.lit(0), F.lit(1)))).filter("m < 4 AND (j = 0 OR m IN (1, 2))")
+    kind = F.when((F.col("m") == 0) | (F.col("m").isin(1, 2) & (j == 0)), "terminal_lead").when(F.col("m") == 3, "line").otherwise("circle")
+    parts = parts.select(*topology.PAGE, F.concat_ws("-", F.lit("part"), "id", "j").alias("id"), F.col("id").alias("component_id"), kind.alias("kind"), (F.col("bx") + F.col("bw") - 2 - 4 * j).alias("bx"), (F.col("by") + 3 * (F.col("m") % 3)).alias("by"), F.lit(6).alias("bw"), F.lit(4).alias("bh"), "confidence")
+    return J.recognized_terminals(c, parts, d.endpoints, d.edges, located).drop("source_id")
+
+
 @query("""SELECT c.page, c.id, CASE count(b.id) WHEN 1 THEN 'component_attached' WHEN 0 THEN 'inline' ELSE 'unknown' END AS topology, CASE WHEN count(b.id) = 1 THEN min(b.id) END AS component_id FROM components c LEFT JOIN components b ON b.page = c.page AND b.id <> c.id AND b.kind <> 'diagram_furniture'
        AND pow(greatest(c.bx - (b.bx + b.bw), b.bx - (c.bx + c.bw), 0), 2) + pow(greatest(c.by - (b.by + b.bh), b.by - (c.by + c.bh), 0), 2) <= 4 WHERE c.kind = 'primitive_symbol' GROUP BY c.page, c.id""")
 def connector_attachment(spark, sf_dir):

@@ -340,7 +340,7 @@ def wire_semantic_coverage(spark, sf_dir):
 def drawn_wire_semantics(spark, sf_dir):
     d = Drawn(spark, sf_dir)
     key = lambda c: F.concat_ws("@", c, "page")
-    w = graph.wires(d.edges, d.nodes, d.endpoints).filter("pass = 1").select("page", key("start_endpoint").alias("start_endpoint"), key("end_endpoint").alias("end_endpoint"))
+    w = graph.wires(d.edges, d.nodes, d.endpoints, passes=(1,)).select("page", key("start_endpoint").alias("start_endpoint"), key("end_endpoint").alias("end_endpoint"))
     gx, gy = F.expr("(x div 10) % 3"), F.expr("(y div 10) % 2")
     labels = d.endpoints.select(key("id").alias("endpoint_id"), F.when(gx == 0, "RED").when(gx == 1, "BLUE").alias("wire_color"), F.when(gy == 0, "HORN").alias("function_label"))
     plain = lambda c: F.split(c, "@")[0].alias(c)
