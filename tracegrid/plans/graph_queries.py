@@ -154,6 +154,18 @@ def wire_dedupe(spark, sf_dir):
     return both.select("page", stable_id("wire", F.concat_ws(":", "source_id", "page", "start_endpoint", "end_endpoint")).alias("id"), "producer", "start_endpoint", "end_endpoint", "wire_key")
 
 
+@query(f"""SELECT page, producer, start_endpoint, end_endpoint, key AS wire_key FROM (SELECT *, concat_ws('|', least(start_endpoint, end_endpoint), greatest(start_endpoint, end_endpoint), array_to_string(list_sort(path), ','), array_to_string(list_sort(list_distinct(list_transform(path, lambda e: split_part(e, '@', 1)))), ',')) AS key FROM (
+         SELECT page, 1 AS producer, start_endpoint, end_endpoint, path FROM ({_PASS1})
+         UNION ALL SELECT f.page, 2, f.anchor, p.id, w.path FROM ways w JOIN facts f ON f.page = w.page AND f.root = w.root JOIN eps p ON p.page = w.page AND p.node_id = w.node WHERE len(path) > 0))
+       QUALIFY row_number() OVER (PARTITION BY page, key ORDER BY producer, start_endpoint) = 1""")
+def wire_merge(spark, sf_dir):
+    """The wires of unambiguous walks and those of nets, of equal ones only the first producer's."""
+    d, members, facts = _facts(spark, sf_dir)
+    first = graph.wires(d.edges, d.nodes, d.endpoints, passes=(1,)).select(*topology.PAGE, "start_endpoint", "end_endpoint", "edges", "segments")
+    second = nets.distribution_wires(members, facts, d.nodes, d.edges, d.endpoints).drop("root").withColumn("segments", F.array_distinct(F.transform("edges", lambda e: F.split(e, "@")[0])))
+    return nets.merge_wires(first, second).select("page", "producer", "start_endpoint", "end_endpoint", "wire_key")
+
+
 _GAPS = """SELECT a.page, a.id AS a, b.id AS b, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) AS gap2 FROM t a JOIN t b ON a.page = b.page AND a.id < b.id
        WHERE pow(b.x - a.x, 2) + pow(b.y - a.y, 2) BETWEEN 2.25 AND 324 AND (
          (abs(b.y - a.y) <= 1.5 AND abs(b.x - a.x) > 1.5 AND a.dx * (b.x - a.x) > 0 AND b.dx * (a.x - b.x) > 0 AND abs(a.dy) <= 1.5 AND abs(b.dy) <= 1.5) OR
