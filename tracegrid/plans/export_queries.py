@@ -8,15 +8,15 @@ from tracegrid.operators.topology import PAGE
 from tracegrid.plans.adapters import pick
 from tracegrid.plans.graph_queries import Drawn
 from tracegrid.plans.oracle import sql
-from tracegrid.sources import drawings
+from tracegrid.sources import drawings, review
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(oracle: str):
+def query(oracle: str, **ctes: str):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql(oracle)
+        ORACLE_SQL[f.__name__] = sql(oracle, **ctes)
         return f
 
     return add
@@ -68,3 +68,28 @@ def layered_svg(spark, sf_dir):
         "grounds": drawings.ground_marks(d.endpoints), "labels": drawings.label_texts(labels), "annotations": drawings.label_texts(labels, annotations=True),
     }
     return drawings.layered_svg(layers, 900, 700).select("page", "svg")
+
+
+#: Width and height of a review image, in which all lattice lines lie.
+REVIEW_PAGE = (900, 700)
+_LAYERS = {
+    "obj": """SELECT page, 'topology_edges' AS layer, id FROM edges UNION ALL SELECT page, 'component_bounds', id FROM components UNION ALL SELECT page, 'labels', id FROM text_regions
+        UNION ALL SELECT page, 'splices', id FROM nodes WHERE type = 'splice' UNION ALL SELECT page, 'endpoint_debug', id FROM eps UNION ALL SELECT page, 'grounds', id FROM eps WHERE kind = 'ground'""",
+    "bx4": "SELECT page, 'component_bounds' AS layer, bx, c.by AS top, bw, bh FROM components c UNION ALL SELECT page, 'labels', bx, t.by, bw, bh FROM text_regions t",
+    "dts": "SELECT page, 'splices' AS layer, x, y, 4 AS r FROM nodes WHERE type = 'splice' UNION ALL SELECT page, 'endpoint_debug', x, y, 3 FROM eps UNION ALL SELECT page, 'grounds', x, y, 5 FROM eps WHERE kind = 'ground'",
+    "cel": """SELECT page, 'topology_edges' AS layer, x1 + unnest(range(0, x2 - x1 + 1)) AS x, y1 AS y FROM edges WHERE y1 = y2 UNION SELECT page, 'topology_edges', x1, y1 + unnest(range(0, y2 - y1 + 1)) FROM edges WHERE x1 = x2
+        UNION SELECT page, layer, bx + unnest(range(bw)), top FROM bx4 UNION SELECT page, layer, bx + unnest(range(bw)), top + bh - 1 FROM bx4 UNION SELECT page, layer, bx, top + unnest(range(bh)) FROM bx4 UNION SELECT page, layer, bx + bw - 1, top + unnest(range(bh)) FROM bx4
+        UNION SELECT page, layer, x + i, y + j FROM dts, (SELECT unnest(range(-5, 6)) AS i), (SELECT unnest(range(-5, 6)) AS j) WHERE i * i + j * j <= r * r""",
+}
+
+
+@query(f"SELECT o.page, o.layer, objects, coalesce(pixels, 0) AS pixels, {REVIEW_PAGE[0]} AS width, {REVIEW_PAGE[1]} AS height FROM (SELECT page, layer, count(*) AS objects FROM obj GROUP BY ALL) o LEFT JOIN (SELECT page, layer, count(*) AS pixels FROM cel WHERE x BETWEEN 0 AND {REVIEW_PAGE[0] - 1} AND y BETWEEN 0 AND {REVIEW_PAGE[1] - 1} GROUP BY ALL) p ON p.page = o.page AND p.layer = o.layer", **_LAYERS)
+def review_layers(spark, sf_dir):
+    """Review images of six layers, written as PNG and counted again from their bytes, beside the objects they show."""
+    d = Drawn(spark, sf_dir)
+    boxes, texts, ends = d.views.components(), d.views.text_regions(), d.endpoints
+    splices, grounds = d.nodes.filter("type = 'splice'"), ends.filter("kind = 'ground'")
+    objects = {"topology_edges": d.edges, "component_bounds": boxes, "labels": texts, "splices": splices, "endpoint_debug": ends, "grounds": grounds}
+    runs = {"topology_edges": review.line_runs(d.edges), "component_bounds": review.box_runs(boxes), "labels": review.box_runs(texts), "splices": review.dot_runs(splices, 4), "endpoint_debug": review.dot_runs(ends, 3), "grounds": review.dot_runs(grounds, 5)}
+    seen = review.read_back(review.review_images(runs, *REVIEW_PAGE))
+    return review.manifest(seen, objects).select("page", "layer", "objects", "pixels", F.lit(REVIEW_PAGE[0]).alias("width"), F.lit(REVIEW_PAGE[1]).alias("height"))

@@ -120,7 +120,7 @@ def _unfiltered(raw: bytes, stride: int, height: int, step: int) -> bytes:
     out, above = bytearray(), bytearray(stride)
     for row in range(height):
         kind, line = raw[row * (stride + 1)], bytearray(raw[row * (stride + 1) + 1 : (row + 1) * (stride + 1)])
-        for i in range(stride):
+        for i in range(stride if kind else 0):
             left, up, corner = (line[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
             guess = left + up - corner
             best = min((left, up, corner), key=lambda v: abs(guess - v))
