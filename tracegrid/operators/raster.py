@@ -39,6 +39,18 @@ def open_segments(ink: DataFrame, k: int) -> DataFrame:
     return met.groupBy(*PAGE, "root").agg(F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
 
 
+def directed_strokes(ink: DataFrame, k: int = 25, least_area: int = 8, least_length: int = 12) -> DataFrame:
+    """(page, o, axis, lo, hi, thickness, area): level and upright strokes of ink, as the lines through their middles.
+
+    A direction's strokes are the components of what an opening by ``k`` cells in that direction leaves, of so many cells
+    and of so great a length at least.
+    """
+    turned = ink.select(*PAGE, F.col("x").alias("y"), F.col("y").alias("x"))
+    found = open_segments(ink, k).withColumn("o", F.lit("H")).unionByName(open_segments(turned, k).withColumn("o", F.lit("V")))
+    kept = found.filter((F.col("area") >= least_area) & (F.col("x1") - F.col("x0") + 1 >= least_length))
+    return kept.select(*PAGE, "o", ((F.col("y0") + F.col("y1")) / 2).alias("axis"), F.col("x0").cast("double").alias("lo"), F.col("x1").cast("double").alias("hi"), (F.col("y1") - F.col("y0") + 1).cast("double").alias("thickness"), F.col("area").cast("long").alias("area"))
+
+
 def cells_of(boxes: DataFrame, scale: int) -> DataFrame:
     """(page, y, x): lattice cells inside boxes, each once."""
     span = lambda lo, size: F.explode(F.expr(f"sequence(CAST(ceil({lo} / {scale}) AS BIGINT), CAST(floor(({lo} + {size}) / {scale}) AS BIGINT))"))
