@@ -153,7 +153,7 @@ def test_mixing_takes_the_targets(spark, small):
         target[source[r.doc_id]] = r.target
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 50 for s in target)
     again = mixing.taken_words(docs.repartition(7)).collect()
-    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+    assert sorted((r.doc_id, r.taken, r.first_slot is None, r.first_slot or 0) for r in rows) == sorted((r.doc_id, r.taken, r.first_slot is None, r.first_slot or 0) for r in again)
 
 
 def test_mix_is_even_everywhere(spark, small):
@@ -175,6 +175,18 @@ def test_mix_is_even_everywhere(spark, small):
         assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))
 
 
+def test_first_slots_follow_the_schedule(spark, small):
+    """A document's first slot is the least of its pieces', and documents that the mix does not take have none."""
+    every = mixing.taken_words(small_docs(spark, small)).collect()
+    rows = [r for r in every if r.taken]
+    assert all((r.first_slot is not None) == (r.taken > 0) for r in every)
+    _, pieces = mixing.mix_sources(mixing.thin_documents(small_docs(spark, small), 0))
+    first = {}
+    for r in pieces.collect():
+        first[r.doc_id] = min(first.get(r.doc_id, r.slot), r.slot)
+    assert {r.doc_id: r.first_slot for r in rows} == first
+
+
 def test_mixing_meets_small_targets(spark, small):
     """Sources of a few words beside large ones, and copies of one row as a third of all: every target is met to the word."""
     rows = [(i, "w " * (i % 90 + 1), "big") for i in range(600)] + [(7, "copy of one row", "big")] * 400 + [(1000 + i, "a b c", f"small{i}") for i in range(5)] + [(2000, "x", None)]

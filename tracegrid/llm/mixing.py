@@ -131,10 +131,11 @@ def mix_sources(thin: DataFrame, n_slots: int = SLOTS) -> tuple[DataFrame, DataF
 
 
 def taken_words(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(uid, doc_id, size, source_size, target, taken) of every row of ``docs``."""
+    """(uid, doc_id, size, source_size, target, taken, first_slot) of every row of ``docs``; ``first_slot`` is where the
+    document first stands in the mix, null where it takes no words of it."""
     placed, pieces = mix_sources(thin_documents(docs, seed))
-    taken = pieces.groupBy("uid").agg(F.sum("length").alias("taken"))
-    return placed.join(taken, "uid", "left").select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("uid").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"))
+    return placed.join(taken, "uid", "left").select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
