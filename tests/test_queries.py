@@ -3,7 +3,7 @@ import pytest
 import __spark_entry__ as driver
 from tracegrid.plans import catalog
 
-QUICK = ["conductor_normalize", "segment_intersections", "topology_nodes", "topology_edges", "page_components", "electrical_nets", "distribution_wires", "wires_pass1", "wires_pass2", "wire_merge", "terminal_candidates", "gap_candidates", "gap_bridges", "walk_stop_reasons", "masked_segments", "open_ends_after_masking", "snapped_points", "conductor_merge", "snapped_split_points", "snapped_topology_edges", "snapped_topology_nodes", "gap_ink_density", "inked_gap_bridges", "bridged_node_types", "bridged_wires", "coverage_nodes", "diagram_splices", "sorted_export", "splice_clusters", "stable_ids", "text_normalize", "text_classify", "provider_gate", "registry_lookup", "semantic_associations", "object_semantics", "role_observation_resolve", "endpoint_semantics", "boundary_resolution", "symbol_family", "electrical_components", "circuit_role_evidence", "wire_semantics", "geometry_ownership", "rejected_geometry_assoc", "terminal_location", "terminal_recognition", "connector_pins", "pin_endpoint_assoc", "ground_truth_match", "furniture_clusters", "wire_validation", "wire_model_findings", "wire_model_codes", "diagram_findings", "diagram_integrity", "diagram_json", "directed_strokes", "net_validation", "coverage_conductors", "extraction_audit", "model_diff", "svg_fragments", "svg_validate", "recognition_json_scan", "recognition_tsv_scan", "scope_regions", "rle_open_segments", "scope_mask", "closed_ink", "outer_contours", "rectangle_measures", "circle_measures", "ground_symbols", "ground_bar_sequences", "blob_classify", "text_region_score", "text_region_groups", "text_components", "overlap_suppression", "endpoint_directed_ink", "conductor_ink_filter", "topology_json", "layered_svg", "review_layers"]
+QUICK = ["conductor_normalize", "segment_intersections", "topology_nodes", "topology_edges", "page_components", "electrical_nets", "distribution_wires", "wires_pass1", "wires_pass2", "wire_merge", "terminal_candidates", "gap_candidates", "gap_bridges", "walk_stop_reasons", "masked_segments", "open_ends_after_masking", "snapped_points", "conductor_merge", "snapped_split_points", "snapped_topology_edges", "snapped_topology_nodes", "gap_ink_density", "inked_gap_bridges", "bridged_node_types", "bridged_wires", "coverage_nodes", "diagram_splices", "sorted_export", "splice_clusters", "stable_ids", "text_normalize", "text_classify", "provider_gate", "registry_lookup", "semantic_associations", "object_semantics", "role_observation_resolve", "endpoint_semantics", "boundary_resolution", "symbol_family", "electrical_components", "circuit_role_evidence", "wire_semantics", "geometry_ownership", "rejected_geometry_assoc", "terminal_location", "terminal_recognition", "connector_pins", "pin_endpoint_assoc", "ground_truth_match", "furniture_clusters", "wire_validation", "wire_model_findings", "wire_model_codes", "diagram_findings", "diagram_integrity", "diagram_json", "audit_counts", "audit_json", "directed_strokes", "net_validation", "coverage_conductors", "extraction_audit", "model_diff", "svg_fragments", "svg_validate", "recognition_json_scan", "recognition_tsv_scan", "scope_regions", "rle_open_segments", "scope_mask", "closed_ink", "outer_contours", "rectangle_measures", "circle_measures", "ground_symbols", "ground_bar_sequences", "blob_classify", "text_region_score", "text_region_groups", "text_components", "overlap_suppression", "endpoint_directed_ink", "conductor_ink_filter", "topology_json", "layered_svg", "review_layers"]
 
 
 @pytest.mark.parametrize("name", QUICK)
