@@ -147,6 +147,100 @@ def test_style_trees_against_brute_force(spark):
     assert low and any("same" not in t for t in told.values())
 
 
+def extracted(spark, pages):
+    """Texts of pages (host, html), in order."""
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in styletree.extract_text(df).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_named_nodes_have_entropies(spark):
+    """Nodes are in the tree whatever their names, with the importance that their counts give."""
+    page = "<body><nav><ul><li>menu</ul></nav><article><h2>Head</h2><p>Text {0}</p></article><div class=comments><p>Reader {0}</p></div><div class=x>Fixed</div></body>"
+    assert {"body/nav/ul/li", "body/nav/ul/li/#", "body/article/p/#", "body/div.comments/p/#", "body/div.x/#"} <= set(styletree.style_nodes(page.format(1)))
+    df = spark.createDataFrame([("h", page.format(i)) for i in range(64)], "host string, html string")
+    seen = {r.node: r.importance for r in styletree.importance(df).collect()}
+    assert seen["body/nav"] == seen["body/article/h2"] == seen["body/div.x"] == 0.0
+    assert seen["body/article"] == seen["body/div.comments"] == pytest.approx(1.0)
+    assert extracted(spark, [("h", page.format(i)) for i in range(64)]) == [f"Head\nText {i}" for i in range(64)]
+
+
+def test_tree_overrules_names_of_noise(spark):
+    """Names of noise around all text of a host's pages are accidents; those beside other text, and those of comments, are not."""
+    shapes = {
+        "article": ("<div class=share><nav>menu</nav><article><p>Text {0}</p><div class=comments>Reader {0}</div></article></div><p class=x>Fixed</p><div class=related>See {0}</div>", "Text {0}"),
+        "layout": ("<div class='wrap has-sidebar'><header>Site</header><div class=x>Fixed</div><div><p>Longer text {0}</p></div><div class=comments>Reader {0} says a lot more</div></div><div class=promo>Buy {0}</div>", "Longer text {0}"),
+        "nested": ("<div class=social><div class=toolbar><p>Text {0}</p></div><nav>menu</nav></div>", "Text {0}"),
+        "own": ("<article class='post comments-open'><p>Text {0}</p><footer>f</footer></article>", "Text {0}"),
+        "beside": ("<p>Text {0}</p><div class=share>Much longer text than the other one {0}</div>", "Text {0}"),
+        "pictures": ("<article><img src=x></article><div class=comments>Reader {0}</div><nav>menu</nav><footer>Foot {0}</footer>", ""),
+    }
+    pages = [(host, f"<body>{page.format(i)}</body>", text.format(i)) for host, (page, text) in shapes.items() for i in range(60)]
+    assert extracted(spark, [p[:2] for p in pages]) == [p[2] for p in pages]
+
+
+def test_few_pages_lean_on_all_hosts_for_claims(spark):
+    page = "<body><div class={1}><p>Text {0}</p></div><nav>menu</nav></body>"
+    pages = [(f"h{i % 10}", page.format(i, "share")) for i in range(60)] + [(f"g{i % 10}", page.format(i, "toolbar")) for i in range(20)]
+    assert extracted(spark, pages) == [f"Text {i}" for i in range(60)] + [""] * 20
+
+
+def test_tree_overrules_names_of_main(spark):
+    """A main element that is the same on all pages does not rule out what differs; it stays, as does one that differs."""
+    pages = [("box", f"<body><article>About</article><div class=a><p>Text {i}</p></div><div class=b>Fixed</div></body>", f"About\nText {i}") for i in range(60)]
+    pages += [("real", f"<body><article>Text {i}</article><div class=a><p>Other {i}</p></div></body>", f"Text {i}") for i in range(60)]
+    pages += [("near", f"<body><article>One text</article><div class=ad>Buy {i}</div><div class=b>Fixed</div></body>", "One text") for i in range(60)]
+    assert extracted(spark, [p[:2] for p in pages]) == [p[2] for p in pages]
+
+
+def test_claims_against_brute_force(spark):
+    """Random pages with names: entropies, claims and texts by plain loops over pages."""
+    import math
+    import random
+
+    rng = random.Random(7)
+    kinds = [("div class=x", "div"), ("article", "article"), ("nav", "nav"), ("div class=share", "div"), ("div class='comments'", "div"), ("section class=has-sidebar", "section"), ("div class=y", "div")]
+
+    def piece(host, i, depth):
+        k, n = rng.choice(host), rng.random()
+        (start, end), inner = kinds[k], piece(host, i, depth + 1) if depth < 3 and n < 0.6 else ""
+        return f"<{start}><p>{'same' if k in (2, 6) or n < 0.3 else f'text {i} {depth}'}</p>{inner}</{end}>"
+
+    of = [[0, 1, 2, 3], [3, 4, 5], [2, 3, 5], [0, 2, 6], [1, 3, 5], [3, 2, 4]]
+    rows = [(i % 6, f"<body>{''.join(piece(of[i % 6], i, 0) for _ in range(rng.choice([1, 1, 2])))}</body>") for i in range(600)]
+    different = sorted(set(rows))
+    digests, everywhere, chars = defaultdict(list), defaultdict(list), Counter()
+    for host, page in different:
+        for node, digest in styletree.style_nodes(page).items():
+            digests[host, node].append(digest)
+            everywhere[node].append(digest)
+        for leaf, text in styletree.blocks_of(page):
+            chars[host, styletree.branch(leaf)[-1]] += len(text)
+
+    def entropy(x):
+        return -sum(n / len(x) * math.log(n / len(x)) for n in Counter(x).values()) / math.log(len(x)) if len(x) > 1 else 1.0
+
+    every = {n: entropy(x) if len(x) >= styletree.LEAN else 1.0 for n, x in everywhere.items()}
+    own = {(h, n): (len(x) * entropy(x) + styletree.LEAN * every[n]) / (len(x) + styletree.LEAN) for (h, n), x in digests.items()}
+    low = {(h, n) for h, n in own if max(v for (g, k), v in own.items() if g == h and (k == n or k.startswith(f"{n}/"))) < styletree.LOW and min(styletree.LEAST, len(everywhere[n])) == styletree.LEAST}
+    shown, needed, mains = Counter(), Counter(), {}
+    for host, page in different:
+        gone = {n for h, n in low if h == host}
+        noise, needs, mains[host, page] = styletree.needed_claims(sorted({x for x, _ in styletree.blocks_of(page)}), gone, {n: c for (h, n), c in chars.items() if h == host})
+        shown.update((host, x) for x in noise)
+        needed.update((host, x) for x in needs)
+
+    def fails(host, claim):
+        m, k = (sum(n for (_, x), n in c.items() if x == claim) for c in (shown, needed))
+        return (needed[host, claim] + styletree.LEAN * (k / m if m >= styletree.LEAN else 0)) / (shown[host, claim] + styletree.LEAN) >= styletree.FAILS
+
+    failed = {x for x in shown if fails(*x)}
+    told = [styletree.main_text(page, frozenset([*(n for h, n in low if h == host), *(x for h, x in shown if h == host and (h, x) not in failed), *mains[host, page]])) for host, page in rows]
+    assert extracted(spark, [(f"h{host}", page) for host, page in rows]) == told
+    by_names = [styletree.main_text(page) for _, page in rows]
+    assert low and failed and len(failed) < len(shown) and sum(a != b for a, b in zip(told, by_names)) > 60
+
+
 def test_article_of_generated_pages(spark, small):
     rows = registry.op7_style_tree(spark, small).collect()
     for r in rows:
