@@ -75,6 +75,12 @@ def test_segment_carries_a_wire_through_a_splice(spark):
     assert [(r["pass"], r.start_endpoint, r.end_endpoint, r.status) for r in graph.wires(e, n, p).collect()] == [(2, "A", "B", "resolved")]
 
 
+def test_conductor_that_crosses_itself_is_a_wire(spark):
+    t = build(spark, [("H", 10, 0, 40), ("V", 40, 10, 30), ("H", 30, 20, 40), ("V", 20, 0, 30)])
+    got = graph.wires(t.edges, t.nodes, topology.endpoints(t.nodes)).collect()
+    assert [(r["pass"], r.start_endpoint, r.end_endpoint, r.status, len(r.edges)) for r in got] == [(2, "ep-0:10", "ep-20:0", "resolved", 6)]
+
+
 def test_fork_of_one_segment_is_conflicted(spark):
     n, e, p = splice(spark, ["s1", "s1", "s1"])
     got = graph.wires(e, n, p).collect()
