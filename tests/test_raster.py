@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracegrid.operators import raster
 
@@ -54,3 +55,17 @@ def test_an_overlapped_region_that_went_hides_none(spark):
     assert sorted(r.id for r in got) == ["a", "b", "c"]
     chain = [("s", 1, "a", 0, 0, 100, 10), ("s", 1, "b", 15, 0, 100, 10), ("s", 1, "c", 30, 0, 100, 10)]
     assert sorted(r.id for r in raster.suppress_overlaps(spark.createDataFrame(chain, BOX)).collect()) == ["a", "c"]
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    from tracegrid.operators.spatial import range_join
+
+    boxes = spark.createDataFrame([("s", 1, "b", 0, 0, 30, 30)], "source_id string, page long, id string, x0 long, y0 long, x1 long, y1 long")
+    ink = spark.createDataFrame([("s", 1, 3, 4), ("s", 1, 3, 5), ("s", 1, 40, 5)], "source_id string, page long, y long, x long")
+    found = raster.ink_in_boxes(boxes, ink, "id")
+    side = lambda p: boxes.select("source_id", "page", F.col("id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in ("x0", "y0")))
+    point = lambda p: (F.col(f"{p}x0"), F.col(f"{p}y0"), F.lit(0.0), F.lit(0.0))
+    met = range_join(side("l"), side("r"), point("l"), point("r"), 5.0, ["source_id", "page"], "lid", "rid")
+    assert [r.dark for r in found.collect()] == [2] and met.count() == 1
+    for df in (found, met):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
