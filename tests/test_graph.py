@@ -150,3 +150,14 @@ def test_merged_wires_keep_the_first(spark):
     df = spark.createDataFrame([("s", 0, "A", "B", ["e1", "e2"], ["s1"])], "source_id string, page long, start_endpoint string, end_endpoint string, edges array<string>, segments array<string>")
     back = df.select("source_id", "page", F.col("end_endpoint").alias("start_endpoint"), F.col("start_endpoint").alias("end_endpoint"), F.reverse("edges").alias("edges"), "segments")
     assert [(r.producer, r.start_endpoint) for r in nets.merge_wires(df, back).collect()] == [(1, "A")]
+
+
+def test_page_tables_are_joined_as_they_lie(spark, small):
+    from tracegrid.plans.graph_queries import Drawn
+
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    d = Drawn(spark, small, reuse=True)
+    live = graph.connective_edges(d.nodes, d.edges).hint("merge").join(topology.node_degree(d.edges).withColumnRenamed("id", "from_node"), [*topology.PAGE, "from_node"])
+    assert "hashpartitioning" not in live._jdf.queryExecution().executedPlan().toString()
+    assert 0 < live.count() == graph.connective_edges(d.nodes, d.edges).count()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before and not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
