@@ -55,3 +55,16 @@ def test_stream_equals_batch(spark, tmp_path):
     reconstruct_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     nodes = spark.read.parquet(str(tmp_path / "out/nodes")).drop("batch")
     assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, Topology(normalize_conductors(df)).nodes.collect()))
+
+
+def test_images_are_read_back_one_at_a_time():
+    import tracemalloc
+
+    from tracegrid.sources import review
+
+    image, black = review.png(900, 700, [(5, 10, 19), (6, 10, 19)])
+    tracemalloc.start()
+    found = list(map(review.black_pixels, [image] * 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(900, 700, black)] * 50 and black == 20 and peak < 25 * 900 * 700
